@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.tables import table
-from . import leakage, survivors, tokenizer
+from . import leakage, reading, survivors, tokenizer
 
 
 def _p9(**how):
@@ -15,6 +15,10 @@ def _p1(f):
     return lambda s, d: f(table(s, d, "review_collisions").select(*cols))
 
 
+def _p10(f):
+    return lambda s, d: f(table(s, d, "documents").select("doc_id", "text", "lang"), table(s, d, "reading_labels"))
+
+
 QUERIES = {
     "p1_found": _p1(survivors.best_messages),
     "p1_merged": _p1(survivors.representatives),
@@ -23,6 +27,8 @@ QUERIES = {
     "p8_pieces": lambda s, d: tokenizer.piece_census(table(s, d, "documents"), "doc_id", "text"),
     "p9_found": lambda s, d: _p9()(s, d).select("doc_id", "item_id"),
     "p9_report": _p9(coverage=leakage.COVERAGE),
+    "p10_found": _p10(reading.demanding),
+    "p10_levels": _p10(lambda d, l: reading.levels(d, l).select("doc_id", "level", "english")),
 }
 
 ORACLE: dict[str, str] = {
