@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..sources.tables import table
-from . import leakage, reading, survivors, tokenizer
+from . import leakage, neighbours, reading, survivors, tokenizer
 
 
 def _p9(**how):
@@ -19,10 +21,24 @@ def _p10(f):
     return lambda s, d: f(table(s, d, "documents").select("doc_id", "text", "lang"), table(s, d, "reading_labels"))
 
 
+def _p2_near(s, d):
+    df = table(s, d, "review_embeddings").select("review_id", "vector", "embedding_spec_hash", "embedded_at")
+    return neighbours.neighbours(df, 5, "review_id", "vector", 384, "embedding_spec_hash", "embedded_at")
+
+
+def _p2_search(s, d):
+    df = table(s, d, "embeddings")
+    near = neighbours.neighbours(df, 10, "vec_id", "embedding", 64, queries="vec_id % 50 = 0")
+    return near.select(F.col("id").cast("bigint").alias("vec_id"), F.col("neighbour").cast("bigint").alias("neighbour"), F.round("cosine", 4).alias("cosine"))
+
+
 QUERIES = {
     "p1_found": _p1(survivors.best_messages),
     "p1_merged": _p1(survivors.representatives),
     "p1_sources": _p1(survivors.source_qualities),
+    "p2_found": lambda s, d: neighbours.mutual(_p2_near(s, d), 0.8).select(F.col("a").alias("review_id_a"), F.col("b").alias("review_id_b")),
+    "p2_neighbours": lambda s, d: _p2_near(s, d).withColumn("cosine", F.round("cosine", 4)),
+    "p2_search": _p2_search,
     "p8_ids": lambda s, d: tokenizer.encode_table(table(s, d, "documents"), "doc_id", "text"),
     "p8_pieces": lambda s, d: tokenizer.piece_census(table(s, d, "documents"), "doc_id", "text"),
     "p9_found": lambda s, d: _p9()(s, d).select("doc_id", "item_id"),
@@ -32,6 +48,19 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "p2_found": """with v as (
+  select distinct review_id, embedding_spec_hash spec, vector from review_embeddings
+  where len(vector) = 384 and len(list_filter(vector, lambda x: x is null or isnan(x))) = 0 and list_sum(list_transform(vector, lambda x: x * x)) > 0),
+s as (
+  select a.spec, a.review_id i, b.review_id j, list_cosine_similarity(a.vector, b.vector) c
+  from v a join v b on a.spec = b.spec and a.review_id <> b.review_id),
+t as (select * from s qualify row_number() over (partition by spec, i order by c desc, j) <= 5)
+select distinct x.i review_id_a, x.j review_id_b from t x join t y on x.spec = y.spec and x.i = y.j and x.j = y.i
+where x.i < x.j and x.c >= 0.8""",
+    "p2_search": """with s as (
+  select a.vec_id, b.vec_id neighbour, list_cosine_similarity(a.embedding, b.embedding) c
+  from embeddings a join embeddings b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0)
+select vec_id, neighbour, round(c, 4)::double as cosine from s qualify row_number() over (partition by vec_id order by c desc, neighbour) <= 10""",
     "p1_found": """with m as (
   select distinct kafka_partition, kafka_offset, nullif(lower(regexp_replace(review_id, '^\\s+|\\s+$', '', 'g')), '') id,
     (trim(user_id), trim(parent_asin), event_ts) place, rating,
