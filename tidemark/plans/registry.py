@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import pipeline_problems
+from . import gold, pipeline_problems, silver, text
 
-MODULES = [pipeline_problems]
+MODULES = [pipeline_problems, silver, gold, text]
 
 
 def queries() -> dict[str, Callable]:
