@@ -244,8 +244,8 @@ g as (select parent_asin, ix + 1 g0, lead(ix) over (partition by parent_asin ord
 select parent_asin, unnest(generate_series(g0, g1 - 5, 6))::int lo, unnest(generate_series(g0, g1 - 5, 6))::int + 5 hi from g where g1 - g0 >= 5""",
     "text_prepared": """with p as (select kafka_partition, kafka_offset, trim(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g')) t, trim(regexp_replace(coalesce(text, ''), '[\\s\\x{a0}\\x{2000}-\\x{200a}\\x{3000}]+', ' ', 'g')) b from silver_reviews)
 select kafka_partition, kafka_offset, case when t = '' then b when b = '' then t else t || '. ' || b end prepared from p""",
-    "text_quote_evidence": """select kafka_partition, kafka_offset, contains(regexp_replace(lower(coalesce(title, '')), '\\s+', ' ', 'g'), 'the box said')
-  or contains(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g'), 'the box said') quoted from silver_reviews""",
+    "text_quote_evidence": """select kafka_partition, kafka_offset, contains(regexp_replace(lower(coalesce(title, '')), '[\\s\\x{a0}\\x{2000}-\\x{200a}\\x{3000}]+', ' ', 'g'), 'the box said')
+  or contains(regexp_replace(lower(coalesce(text, '')), '[\\s\\x{a0}\\x{2000}-\\x{200a}\\x{3000}]+', ' ', 'g'), 'the box said') quoted from silver_reviews""",
     "text_tuple_keys": """select kafka_partition, kafka_offset, sha256(length(parent_asin) || ':' || parent_asin || length(coalesce(title, '')) || ':' || coalesce(title, '') || length(user_id) || ':' || user_id) as key
 from silver_reviews""",
     "draw_stratified": f"with {STRATIFIED} select * from st",
