@@ -22,7 +22,7 @@ def key_counts(df: DataFrame, key: str) -> DataFrame:
 
 
 def heavy_keys(df: DataFrame, key: str, percent: int = 1) -> DataFrame:
-    """Keys that hold at least ``percent`` of all rows, those without key counted in the total."""
+    """Keys that hold at least ``percent`` of all rows, those without key counted in the total; an empty table has none."""
     total = df.agg(F.count(F.lit(1))).scalar()
     counts = key_counts(df, key)
     return counts.where(F.col("key").isNotNull() & (F.col("n") * 100 >= total * percent)).select("key", "n")

@@ -269,7 +269,10 @@ def parse(df: DataFrame, typed: bool = False, payload: str = "payload") -> DataF
     made = list(_VERDICT) + (list(_TYPED) if typed else [])
     names = {f.name for f in made}
     keep = [c for c in df.columns if c != payload and c not in names]
-    source = df.select(*keep, F.col(payload).alias("_payload"))
+    inner = "_payload"
+    while inner in keep:
+        inner += "_"
+    source = df.select(*keep, F.col(payload).alias(inner))
     schema = ", ".join([*(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep), *(f"`{f.name}` {_DDL[f.type]}" for f in made)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,6 +301,9 @@ def failing(*sources: DataFrame) -> DataFrame:
     Deliveries of one message are judged against its earliest arrival.  Should
     deliveries differ in payload, the first reason in alphabetical order of
     those that fail is given, and a message counts as failing if any does.
+    Rows without a position can't be told apart: those of one (partition,
+    offset), nulls included, are one message.  A message without any arrival
+    isn't judged against it.
     """
     late = F.when(F.col("ts_ms").isNotNull() & (F.col("ts_ms") > F.col("arrived_ms")), "timestamp_out_of_range")
     cols = ["kafka_partition", "kafka_offset", "payload", F.unix_millis(F.col("ingested_at").cast("timestamp")).alias("ms")]

@@ -181,7 +181,7 @@ QUERIES = {
     "score_classifier": _classified,
     "order_positions": lambda s, d: _positions(s, d).select("pos", "event_id"),
     "order_disorder": lambda s, d: ordering.disorder(_arrival_positions(s, d).withColumnRenamed("ts_ms", "ts"), bucket=100).select("pos", "kafka_offset"),
-    "order_watermark": lambda s, d: ordering.simulate_watermark(_arrival_positions(s, d), 50, 5 * 86_400_000),
+    "order_watermark": lambda s, d: ordering.simulate_watermark(_arrival_positions(s, d), 5, 86_400_000),
     "order_release": _release,
     "order_latest": _events_latest,
     "profile_quantiles": _quantiles,
@@ -255,8 +255,8 @@ select case when rating > 3 then 'positive' else 'negative' end stars,
 select len(l) draws, l[greatest(1, ceil(len(l) * 0.025))::int] low, l[greatest(1, ceil(len(l) * 0.975))::int] high from o""",
     "order_positions": f"with {_POS} select pos, event_id from po",
     "order_disorder": f"with {_POS} select pos, kafka_offset from (select *, lag(ts_ms) over (order by pos) p from ap) where ts_ms < p",
-    "order_watermark": f"""with {_POS}, b as (select *, pos // 50 batch from ap), t as (select batch, max(ts_ms) top from b group by 1),
-k as (select batch, max(top) over (order by batch rows between unbounded preceding and 2 preceding) - 432000000 mark from t)
+    "order_watermark": f"""with {_POS}, b as (select *, pos // 5 batch from ap), t as (select batch, max(ts_ms) top from b group by 1),
+k as (select batch, max(top) over (order by batch rows between unbounded preceding and 2 preceding) - 86400000 mark from t)
 select pos, batch, ts_ms from b join k using (batch) where ts_ms < mark""",
     "order_release": f"""with {_POS}, l as (select event_id id, ts_ms + 7200000 target_ms from po order by sha256('late' || chr(31) || event_id) limit 50)
 select id, target_ms, (select min(pos) from po where ts_ms >= target_ms) pos from l""",
