@@ -44,8 +44,8 @@ PER_LIST, SAMPLE = 48, 50_000
 SLACK = 2.0
 #: Vectors compared at once inside a list, and the size from which a list is divided again.
 ROWS, BLOCK = 1024, 12_000
-#: Degree of the centroid graph, beam width, and specifications at most.
-DEGREE, BEAM, SPECS = 16, 12, 1000
+#: Links of a centroid each way, beam width, and specifications at most.
+DEGREE, BEAM, SPECS = 12, 12, 1000
 
 
 def unit_rows(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,9 +113,19 @@ class Graph:
         d = min(DEGREE, len(c) - 1)
         s = c @ c.T
         np.fill_diagonal(s, -2)
-        links = np.argsort(-s, axis=1, kind="stable")[:, :d].astype(np.int32)
-        # pivots spread: each is the centroid farthest from those before
-        count = min(len(c), max(4, int(np.sqrt(len(c)))))
+        near_first = np.argsort(-s, axis=1, kind="stable")[:, :d].astype(np.int32)
+        # links back make every centroid reachable; a place without link holds len(c), which no search visits
+        source, target = np.repeat(np.arange(len(c)), d), near_first.ravel()
+        order = np.lexsort((-s[source, target], target))
+        source, target = source[order], target[order]
+        place = np.arange(len(target)) - np.searchsorted(target, target)
+        back = np.full((len(c), d), len(c), np.int32)
+        few = place < d
+        back[target[few], place[few]] = source[few]
+        links = np.concatenate([near_first, back], 1)
+        # pivots spread: each is the centroid farthest from those before; a part of the graph without links
+        # to the rest has more than DEGREE centroids, so there are pivots enough for every part
+        count = min(len(c), max(4, -(-len(c) // DEGREE)))
         pivots, near = [0], s[0].copy()
         near[0] = 2
         while len(pivots) < count:
@@ -132,7 +142,8 @@ class Graph:
         ids = np.full((n, beam), -1, np.int32)
         sims = np.full((n, beam), -3, np.float32)
         done = np.ones((n, beam), bool)
-        seen = np.zeros((n, m), bool)
+        seen = np.zeros((n, m + 1), bool)
+        seen[:, m] = True
         s = q @ self.centroids[self.pivots].T
         b = min(beam, len(self.pivots))
         o = np.argsort(-s, axis=1, kind="stable")[:, :b]
@@ -149,8 +160,10 @@ class Graph:
             done[live, at] = True
             cand = self.links[ids[live, at]]
             fresh = ~seen[live[:, None], cand]
+            half = cand.shape[1] // 2
+            fresh[:, half:] &= ~(cand[:, half:, None] == cand[:, None, :half]).any(2)
             seen[live[:, None], cand] = True
-            cs = np.matmul(self.centroids[cand], q[live][:, :, None])[:, :, 0]
+            cs = np.matmul(self.centroids[np.minimum(cand, m - 1)], q[live][:, :, None])[:, :, 0]
             cs[~fresh] = -3
             all_s = np.concatenate([sims[live], cs], 1)
             o = np.argsort(-all_s, axis=1, kind="stable")[:, :beam]
