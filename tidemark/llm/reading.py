@@ -259,7 +259,8 @@ def fit_levels(texts: list[str], target: np.ndarray) -> tuple[Linear, Linear, np
         return profile((models[0].log_p(fc) + models[1].log_p(fw))[which], owner, size, len(rows))
 
     every = np.arange(len(texts))
-    folds = [every[0::2], every[1::2]]
+    drawn = np.random.default_rng(len(texts)).permutation(every)  # a pattern in the order of rows must not split the levels
+    folds = [np.sort(drawn[0::2]), np.sort(drawn[1::2])]
     x = np.zeros((len(texts), 4 * LEVELS + 1))
     for a, b in (folds, folds[::-1]):
         if len(a) and len(b):
