@@ -209,7 +209,7 @@ fl as (select review_id id, parent_asin, rating, {_TH("lower(coalesce(text, ''))
 oc as (select id, parent_asin, theme, coalesce(r, 0) ref, coalesce(s, 0) sys from
         (select id, parent_asin, unnest(ref) theme, 1 r from fl) full join (select id, parent_asin, unnest(sys) theme, 1 s from fl) using (id, parent_asin, theme)),
 bt as (select theme, count(*) filter (where ref = 1 and sys = 1) tp, count(*) filter (where ref = 0 and sys = 1) fp, count(*) filter (where ref = 1 and sys = 0) fn from oc group by 1),
-sc as (select *, tp + fn support, coalesce(tp / nullif(tp + fp, 0), 0) "precision", coalesce(tp / nullif(tp + fn, 0), 0) recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) f1 from bt)"""
+sf as (select *, tp + fn support, coalesce(tp / nullif(tp + fp, 0), 0) "precision", coalesce(tp / nullif(tp + fn, 0), 0) recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) f1 from bt)"""
 _CUTS = lambda rows, grid: f"""
 gr as (select theme, cut, count(*) filter (where score >= cut and label = 1) tp, count(*) filter (where score >= cut and label = 0) fp, count(*) filter (where score < cut and label = 1) fn
        from {rows}, (select unnest({grid}) cut) group by 1, 2),
@@ -231,8 +231,8 @@ _Z = 1.959963984540054
 _PM = f"""{MONTHS}, pm as (select parent_asin, {_MONTH("ix")} as month, review_count, rating_sum, neg_count, verified_count from m)"""
 
 ORACLE = {
-    "score_by_theme": f"with {FLAT} select theme, tp, fp, fn, support, round(\"precision\", 9) \"precision\", round(recall, 9) recall, round(f1, 9) f1 from sc",
-    "score_macro": f"with {FLAT} select count(*) themes, round(avg(f1), 9) macro_f1 from sc where support >= 10",
+    "score_by_theme": f"with {FLAT} select theme, tp, fp, fn, support, round(\"precision\", 9) \"precision\", round(recall, 9) recall, round(f1, 9) f1 from sf",
+    "score_macro": f"with {FLAT} select count(*) themes, round(avg(f1), 9) macro_f1 from sf where support >= 10",
     "score_disagreements": f"with {FLAT} select id, theme, case when ref = 1 then 'only_reference' else 'only_system' end side from oc where ref <> sys",
     "score_best_cut": f"""with r as (select 'low' theme, neg_share score, (mean_rating < 3)::int as label from product_month where neg_share is not null and mean_rating is not null), {_CUTS("r", GRID)}
 select theme, cut::double cut, tp, fp, fn, f1 from bc""",

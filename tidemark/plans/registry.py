@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import gold, measures, pipeline_problems, silver, text
+from . import extra, gold, measures, pipeline_problems, silver, text
 
-MODULES = [pipeline_problems, silver, gold, text, measures]
+MODULES = [pipeline_problems, silver, gold, text, measures, extra]
 
 
 def queries() -> dict[str, Callable]:
