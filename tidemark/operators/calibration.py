@@ -56,6 +56,15 @@ def permuted_blocks(spine: DataFrame, block: int, replicate: int, seed: int) ->
     return moved.select("parent_asin", "_to", *rest).join(places, ["parent_asin", "_to"]).drop("_to")
 
 
+def placebo(spine: DataFrame, rules: dict[str, decline.Rule], block: int, replicates: int, seed: int) -> DataFrame:
+    """(config, replicates, alerts, evaluable): alerts on spines whose months were permuted in blocks."""
+    u = None
+    for r in range(1, replicates + 1):
+        p = grid_alerts(permuted_blocks(spine, block, r, seed), rules)
+        u = p if u is None else u.unionByName(p)
+    return u.groupBy("config").agg(F.count(F.lit(1)).alias("replicates"), F.sum("alerts").alias("alerts"), F.sum("evaluable").alias("evaluable"))
+
+
 def injected(months: DataFrame, start: DataFrame, share: float, stars: float) -> DataFrame:
     """Months with a share of their reviews lowered to ``stars`` from a start month on.
 

@@ -147,6 +147,12 @@ def _grid_alerts(s, d):
     return calibration.grid_alerts(m.checkpoint(), calibration.grid(RULE, delta=[0.3, 0.5], persistence=[1, 2]))
 
 
+def _placebo(s, d):
+    m = spine.spine(months(s, d)).drop("month", "mean_rating", "neg_share", "verified_share")
+    shared_dir(s)
+    return calibration.placebo(m.checkpoint(), calibration.grid(RULE, delta=[0.5, 0.7]), 6, 2, SEED)
+
+
 def _permuted(s, d):
     p = calibration.permuted_blocks(spine.spine(months(s, d)).select("parent_asin", "ix", "review_count", "rating_sum"), 6, 1, SEED)
     return p
@@ -190,6 +196,7 @@ QUERIES = {
     "profile_digest": lambda s, d: profile.digest(table(s, d, "silver_reviews"), "review_id", "rating", "text"),
     "profile_single_value": lambda s, d: profile.single_value(table(s, d, "bronze_reviews"), "kafka_topic"),
     "calibrate_grid": _grid_alerts,
+    "calibrate_placebo": _placebo,
     "calibrate_permuted": _permuted,
     "calibrate_injected": _injected,
     "calibrate_surveillance": lambda s, d: calibration.surveillance_months(decline.points(spine.spine(months(s, d)), RULE)),
