@@ -5,6 +5,8 @@ from datetime import date, datetime
 import pytest
 
 from tidemark.operators import arrivals, heavy, late, rolling
+from tidemark.session import scratch
+from tidemark.sources.versioned import VersionedTable
 from tidemark.streaming import product_months
 
 MONTHS = "parent_asin string, month string, month_date date, review_count int, rating_sum double, mean_rating double, neg_count int, source_silver_snapshot_id bigint, entity int, bucket int"
@@ -76,27 +78,39 @@ def test_repeated_messages(spark):
 
 def test_seen_bits_over_batches_equal_one_batch(spark):
     rows = [(f"m{i % 40}", i, datetime(2020, 1, 1 + i % 28)) for i in range(120)]
-    seen, kept = arrivals.Seen.empty(spark), []
+    root, kept = scratch(spark, "seen"), []
     for k in range(3):
         batch = spark.createDataFrame(rows[k * 40 - 5 * (k > 0) : k * 40 + 40], NAMED)
-        new = arrivals.unseen(batch, seen, shards=3).checkpoint()
-        kept += [(r.identifier, r.delivery_id) for r in new.collect()]
-        seen = arrivals.after_batch(seen, new)
-        seen = arrivals.Seen(seen.dictionary.checkpoint(), seen.bitmaps.checkpoint())
-    assert len(kept) == 40 and len({i for i, _ in kept}) == 40
+        kept += [(r.shard, r.pos) for r in arrivals.take(batch, root, f"b{k}", shards=3).collect()]
+    assert len(kept) == 40 == len(set(kept))
+    table = VersionedTable(spark, root)
+    seen = arrivals.Seen.load(table)
     codes = seen.dictionary.collect()
-    assert len({(r.shard, r.pos) for r in codes}) == len(codes) == 40
+    assert len({(r.shard, r.pos) for r in codes}) == len({r.identifier for r in codes}) == len(codes) == 40
     for shard in {r.shard for r in codes}:
         assert sorted(r.pos for r in codes if r.shard == shard) == list(range(sum(r.shard == shard for r in codes)))
     assert sum(r.n for r in seen.bitmaps.selectExpr("bitmap_count(bits) n").collect()) == 40
-    again = arrivals.unseen(spark.createDataFrame(rows, NAMED), seen, shards=3)
-    assert again.count() == 0
+    assert table.current() == 3 and arrivals.take(spark.createDataFrame(rows, NAMED), root, "again", shards=3).count() == 0
+
+
+def test_failed_batch_leaves_the_state(spark, monkeypatch):
+    root = scratch(spark, "seen")
+    one = spark.createDataFrame([("a", 1, None)], NAMED)
+    arrivals.take(one.limit(0), scratch(spark, "none"), "b0", shards=2)
+    arrivals.take(one.limit(0), root, "b-", shards=2)
+    arrivals.take(one, root, "b0", shards=2)
+    monkeypatch.setattr(arrivals, "union_bits", lambda a, b: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        arrivals.take(spark.createDataFrame([("b", 2, None)], NAMED), root, "b1", shards=2)
+    monkeypatch.undo()
+    assert VersionedTable(spark, root).current() == 2
+    assert [r.delivery_id for r in arrivals.take(spark.createDataFrame([("b", 2, None), ("a", 3, None)], NAMED), root, "b1", shards=2).collect()] == [2]
 
 
 def test_hot_identifier_is_one_row(spark):
     df = spark.range(20_000).selectExpr("if(id % 3 = 0, 'hot', cast(id as string)) identifier", "id delivery_id", "timestamp_ntz'2020-01-01' ingested_at")
-    got = arrivals.unseen(df)
-    assert got.where("identifier = 'hot'").first().delivery_id == 0 and got.count() == 1 + df.where("identifier <> 'hot'").count()
+    got = {r.delivery_id for r in arrivals.take(df, scratch(spark, "seen"), "b").collect()}
+    assert got == {0} | {i for i in range(20_000) if i % 3}
 
 
 @pytest.mark.parametrize("f, name", [(lambda s, e: rolling.product_trailing(e), "rolling")])

@@ -4,10 +4,10 @@ Identifiers are dictionary-encoded exactly: a hash names the shard, the rank
 within the shard the position, so a code is dense and no two identifiers share
 one.  What has been seen is kept as bitmaps of 32,768 bits per (shard, bucket),
 stored compressed; Spark's own bitmap aggregates build and unite them.  A batch
-keeps one arrival for each bit not yet set, then replaces dictionary and
-bitmaps in one atomic step of the versioned table.
+keeps one arrival for each bit not yet set; then dictionary and bitmaps with
+the new bits replace the old ones in one atomic step of a versioned table.
 
-Deliveries are folded to their earliest per message, then per identifier, with
+Deliveries are folded to their earliest per message, then per bit, with
 map-side combining; which deliveries to drop is an anti-join on the unique
 delivery_id.  So no step gathers the copies of one message in one task.
 """
@@ -19,6 +19,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch
+from ..sources.versioned import VersionedTable
+
 #: Dictionary shards.  Ranks are computed per shard, so this bounds the rows a task sorts.
 SHARDS = 1024
 #: Bits of one bitmap, fixed by Spark's bitmap functions.
@@ -39,6 +42,23 @@ class Seen:
             spark.createDataFrame([], "shard int, bucket bigint, bits binary"),
         )
 
+    @staticmethod
+    def load(table: VersionedTable) -> Seen | None:
+        """The newest state, or null before the first batch."""
+        if table.current() is None:
+            return None
+        rows = table.read()
+        return Seen(
+            rows.where("kind = 'dictionary'").select("identifier", "shard", F.col("at").alias("pos")),
+            rows.where("kind = 'bits'").select("shard", F.col("at").alias("bucket"), "bits"),
+        )
+
+    def save(self, table: VersionedTable, run_id: str) -> int:
+        """Both parts under one version, so a reader sees both or neither."""
+        d = self.dictionary.select(F.lit("dictionary").alias("kind"), "shard", F.col("pos").alias("at"), "identifier", F.lit(None).cast("binary").alias("bits"))
+        b = self.bitmaps.select(F.lit("bits").alias("kind"), "shard", F.col("bucket").alias("at"), F.lit(None).cast("string").alias("identifier"), "bits")
+        return table.write(d.unionByName(b), run_id, "kind")
+
 
 def shard_of(identifier: Column, shards: int = SHARDS) -> Column:
     return F.pmod(F.xxhash64(identifier), F.lit(shards)).cast("int")
@@ -69,32 +89,24 @@ def _bit_set(bits: Column, pos: Column) -> Column:
     return F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8))) == 1, F.lit(False))
 
 
-def first_arrivals(batch: DataFrame) -> DataFrame:
-    """The earliest delivery, then the lowest id, of every identifier: (identifier, delivery_id)."""
-    return (
-        batch.groupBy("identifier")
-        .agg(F.min(F.struct("ingested_at", "delivery_id")).alias("first"))
-        .select("identifier", F.col("first.delivery_id").alias("delivery_id"))
-    )
-
+def unseen(batch: DataFrame, codes: DataFrame, seen: Seen | None = None) -> DataFrame:
+    """One arrival per bit not yet set: (shard, pos, delivery_id), the earliest, then the lowest id.
 
-def unseen(batch: DataFrame, seen: Seen | None = None, shards: int = SHARDS) -> DataFrame:
-    """One arrival per identifier whose bit isn't set: (identifier, shard, pos, delivery_id).
-
-    ``batch`` is (identifier, delivery_id, ingested_at) with any repetition.
+    ``batch`` is (identifier, delivery_id, ingested_at) with any repetition,
+    ``codes`` what ``encode`` gave its identifiers.  Past the dictionary only
+    codes move.
     """
-    first = first_arrivals(batch)
+    first = (
+        batch.join(codes, "identifier")
+        .groupBy("shard", "pos")
+        .agg(F.min(F.struct("ingested_at", "delivery_id")).alias("first"))
+        .select("shard", "pos", F.col("first.delivery_id").alias("delivery_id"))
+    )
     if seen is None:
-        rank = F.row_number().over(Window.partitionBy("shard").orderBy("identifier")).cast("long")
-        return first.withColumn("shard", shard_of(F.col("identifier"), shards)).withColumn("pos", rank - 1)
-    coded = encode(first, seen.dictionary, shards).join(first, "identifier")
+        return first
     bucket = F.floor(F.col("pos") / F.lit(BITS))
-    return (
-        coded.withColumn("bucket", bucket)
-        .join(seen.bitmaps, ["shard", "bucket"], "left")
-        .where(~_bit_set(F.col("bits"), F.col("pos")))
-        .select("identifier", "shard", "pos", "delivery_id")
-    )
+    known = first.withColumn("bucket", bucket).join(seen.bitmaps, ["shard", "bucket"], "left")
+    return known.where(~_bit_set(F.col("bits"), F.col("pos"))).select("shard", "pos", "delivery_id")
 
 
 def bitmaps(coded: DataFrame) -> DataFrame:
@@ -108,10 +120,27 @@ def union_bits(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).groupBy("shard", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
 
 
-def after_batch(seen: Seen, new: DataFrame) -> Seen:
-    """State with the bits of ``new`` (what ``unseen`` returned) united into it."""
-    added = new.select("identifier", "shard", "pos").join(seen.dictionary, "identifier", "left_anti")
-    return Seen(seen.dictionary.unionByName(added), union_bits(seen.bitmaps, bitmaps(new)))
+def take(batch: DataFrame, root: str, run_id: str, shards: int = SHARDS) -> DataFrame:
+    """Feed one batch to the state under ``root``: (shard, pos, delivery_id) of the arrivals that stay.
+
+    Codes and choice are written to the shared folder before the state is
+    replaced, so a failure before that leaves the state as it was, and the
+    result doesn't depend on it afterwards.
+    """
+    spark = batch.sparkSession
+    table = VersionedTable(spark, root)
+    seen = Seen.load(table)
+    where, kept = scratch(spark, "codes"), scratch(spark, "kept")
+    encode(batch.select("identifier").distinct(), seen.dictionary if seen else None, shards).write.option("compression", "zstd").parquet(where)
+    codes = spark.read.parquet(where)
+    unseen(batch, codes, seen).write.parquet(kept)
+    bits = bitmaps(codes)
+    if seen:
+        added = codes.join(seen.dictionary.select("identifier"), "identifier", "left_anti")
+        Seen(seen.dictionary.unionByName(added), union_bits(seen.bitmaps, bits)).save(table, run_id)
+    else:
+        Seen(codes, bits).save(table, run_id)
+    return spark.read.parquet(kept)
 
 
 def named(deliveries: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -142,13 +171,19 @@ def named(deliveries: DataFrame, reviews: DataFrame) -> DataFrame:
     )
 
 
-def to_drop(deliveries: DataFrame, reviews: DataFrame, seen: Seen | None = None) -> DataFrame:
-    """Deliveries that repeat a message: all but the one that stays (none stays of a message seen before)."""
-    keep = unseen(named(deliveries, reviews), seen)
+def to_drop(deliveries: DataFrame, reviews: DataFrame, root: str | None = None, run_id: str = "batch") -> DataFrame:
+    """Deliveries that repeat a message: all but the one that stays (none stays of a message seen before).
+
+    ``root`` holds the state between batches; without it the state is new.
+    """
+    spark = deliveries.sparkSession
+    keep = take(named(deliveries, reviews), root or scratch(spark, "seen"), run_id)
     return deliveries.select("delivery_id").join(keep.select("delivery_id"), "delivery_id", "left_anti")
 
 
 def seen_census(deliveries: DataFrame, reviews: DataFrame) -> DataFrame:
     """Set bits per shard after one batch: (shard, messages)."""
-    b = bitmaps(unseen(named(deliveries, reviews)))
-    return b.groupBy("shard").agg(F.sum(F.bitmap_count("bits")).alias("messages"))
+    spark = deliveries.sparkSession
+    root = scratch(spark, "seen")
+    take(named(deliveries, reviews), root, "batch")
+    return Seen.load(VersionedTable(spark, root)).bitmaps.groupBy("shard").agg(F.sum(F.bitmap_count("bits")).alias("messages"))

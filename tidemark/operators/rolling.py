@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import month_ix, month_key_ix, month_text
+from ..session import shared_dir
 
 
 def monthly_facts(df: DataFrame) -> DataFrame:
@@ -83,8 +84,13 @@ def trailing(facts: DataFrame, measures: Sequence[str], spans: Sequence[int]) ->
 
 
 def product_trailing(df: DataFrame, spans: Sequence[int] = (3, 12)) -> DataFrame:
-    """Trailing review, negative and rating totals, and mean rating per review, by product and month."""
-    t = trailing(monthly_facts(df), ["reviews", "negatives", "rating_sum"], spans)
+    """Trailing review, negative and rating totals, and mean rating per review, by product and month.
+
+    The monthly facts, which calendar and totals both need, are checkpointed,
+    so the table is read once.
+    """
+    shared_dir(df.sparkSession)
+    t = trailing(monthly_facts(df).checkpoint(), ["reviews", "negatives", "rating_sum"], spans)
     means = [F.try_divide(F.col(f"rating_sum_{s}"), F.col(f"reviews_{s}")).alias(f"mean_rating_{s}") for s in spans]
     return t.select(F.col("entity").alias("parent_asin"), month_text(F.col("ix")).alias("month"), *t.columns[2:], *means)
 
