@@ -44,8 +44,8 @@ PER_LIST, SAMPLE = 48, 50_000
 SLACK = 2.0
 #: Vectors compared at once inside a list, and the size from which a list is divided again.
 ROWS, BLOCK = 1024, 12_000
-#: Links of a centroid each way, beam width, and specifications at most.
-DEGREE, BEAM, SPECS = 12, 12, 1000
+#: Links of a centroid each way, beam width, pivots at least, and specifications at most.
+DEGREE, BEAM, PIVOTS, SPECS = 16, 16, 64, 1000
 
 
 def unit_rows(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +125,7 @@ class Graph:
         links = np.concatenate([near_first, back], 1)
         # pivots spread: each is the centroid farthest from those before; a part of the graph without links
         # to the rest has more than DEGREE centroids, so there are pivots enough for every part
-        count = min(len(c), max(4, -(-len(c) // DEGREE)))
+        count = min(len(c), max(PIVOTS, -(-len(c) // DEGREE)))
         pivots, near = [0], s[0].copy()
         near[0] = 2
         while len(pivots) < count:
