@@ -10,7 +10,7 @@ so that the ``lang`` column, which is often wrong, only serves as a noisy label.
 
 Fitting uses bounded samples (``LABELLED`` rated documents, ``PER_LANGUAGE``
 documents of each of ``LANGUAGES`` languages, none longer than ``FIT_CHARS``),
-chosen by the hash of doc_id.  Every document is classified, whole.  Weights
+chosen by the hash of doc_id; as many rated documents again stand for English.  Every document is classified, whole.  Weights
 are broadcast; their size is fixed by ``BUCKETS``.
 
 A document rated several times trains with the share of each level; repeated
@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVELS = 4
@@ -285,7 +285,7 @@ def fit_language(texts: list[str], which: np.ndarray, classes: int) -> Linear |
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on the bounded samples; two small collects to the driver."""
+    """Fit on the bounded samples, which two scans collect to the driver."""
     spark_docs = docs.select("doc_id", "text", "lang").where(F.length("text").between(1, FIT_CHARS))
     order = F.xxhash64(F.col("doc_id"), F.lit(7))
     rated = (
@@ -300,15 +300,22 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     rows = sorted(rated.join(spark_docs.select("doc_id", "text"), "doc_id").collect(), key=lambda r: r.doc_id)
     rows = [r for r in rows if sentences(r.text)]
     lang = F.substring(F.lower(F.trim("lang")), 1, 2)
-    named = spark_docs.where(lang != "").select("doc_id", "text", lang.alias("lang"))
-    common = [r.lang for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    texts: list[str] = []
-    which: list[int] = []
-    for k, code in enumerate(common):
-        # one top-k of a language each: only PER_LANGUAGE rows of each task reach the driver
-        for r in named.where(F.col("lang") == code).orderBy(order, "doc_id").limit(PER_LANGUAGE).collect():
-            texts.append(r.text)
-            which.append(k)
+    found = docs.select(lang.alias("lang")).where("lang <> ''").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    common = [r.lang for r in found]
+    # a threshold on the hash leaves about four times PER_LANGUAGE documents of each, so that ranks move few texts
+    drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(2**32))
+    cut = F.coalesce(*(F.when(F.col("lang") == r.lang, F.lit(int(min(1.0, 4 * PER_LANGUAGE / r.n) * 2**32))) for r in found), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "doc_id"))
+    named = spark_docs.select("doc_id", "text", lang.alias("lang"), drawn.alias("drawn")).where(F.col("drawn") < cut)
+    sample = named.withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE).collect()
+    sample.sort(key=lambda r: (r.lang, r.drawn, r.doc_id))
+    texts = [r.text for r in sample]
+    which = [common.index(r.lang) for r in sample]
+    if "en" in common:  # rated documents are English: some of each level show the language's whole range
+        for k in range(1, LEVELS + 1):
+            some = [r.text for r in rows if r[f"n{k}"] >= max(r[f"n{j}"] for j in range(1, LEVELS + 1))][: PER_LANGUAGE // LEVELS]
+            texts += some
+            which += [common.index("en")] * len(some)
     language = None
     if "en" in common and len(common) > 1:
         language = fit_language(texts, np.array(which), len(common))
