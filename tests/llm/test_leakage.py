@@ -80,6 +80,30 @@ def test_reordered_passage_is_found_by_coverage(spark):
     assert (r.longest, r.covered, r.tiles) == (6, 30, 5)
 
 
+def test_coverage_filter_loses_no_pair(spark):
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(25)]
+    items = [(i, " ".join(rng.choices(vocab, k=rng.randint(5, 30)))) for i in range(25)] + [(77, "w1 " * 12)]
+    docs = []
+    for d in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            src = items[rng.randrange(len(items))][1].split()
+            at = rng.randrange(len(src))
+            parts += [*src[at : at + rng.randint(5, 12)], f"x{d}"]
+        docs.append((d, " ".join(parts)))
+    d, i = frames(spark, docs, items)
+    want = set()
+    for dd, t in docs:
+        for ii, u in items:
+            a, b = L.words(t), L.words(u)
+            seeds = [(x, y) for x in range(len(a) - 4) for y in range(len(b) - 4) if a[x : x + 5] == b[y : y + 5]]
+            got = L.tiles(a, b, 5, seeds)
+            if got and (got[0][2] >= 10 or sum(g[2] for g in got) >= 0.8 * len(b)):
+                want.add((dd, ii))
+    assert len(want) > 10 and {(r.doc_id, r.item_id) for r in L.leaks(d, i, coverage=0.8).collect()} == want
+
+
 def test_empty_tables(spark):
     d, i = frames(spark, [(1, "a " * 20)], [(1, "a " * 20)])
     assert L.leaks(d.limit(0), i).count() == 0 and L.leaks(d, i.limit(0)).count() == 0

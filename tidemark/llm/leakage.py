@@ -217,9 +217,20 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
         hit = every.select("doc_id", "words", F.xxhash64("words").alias("w")).join(named, ["doc_id", "w"]).select("doc_id", "words", "seeds")
     hit = hit.checkpoint()  # documents are read and hashed once
     # candidate pairs by shared seed; both sides carry their words only once the pair is known
-    doc_seeds = hit.select("doc_id", F.xxhash64("words").alias("w"), F.explode("seeds").alias("seed"))
+    doc_seeds = hit.select("doc_id", F.xxhash64("words").alias("w"), F.explode("seeds").alias("seed")).distinct()
     by_seed = seed_items(worded, width)
-    pairs = doc_seeds.join(by_seed, "seed").select("doc_id", "w", "item_id", "item_w").distinct()
+    # A tile of k words holds k - width + 1 windows.  So a pair to be reported shares the windows of one tile of
+    # ``least`` words or, as its tiles have ``width`` words at least, one window for each ``width`` words covered.
+    due = F.lit(least - width + 1)
+    if coverage is not None:
+        due = F.least(due, F.ceil(F.col("item_n") * F.lit(coverage / width) - F.lit(1e-9)))
+    pairs = (
+        doc_seeds.join(by_seed, "seed")
+        .groupBy("doc_id", "w", "item_id", "item_w")
+        .agg(F.sum("times").alias("shared"), F.max("item_n").alias("item_n"))
+        .where(F.col("shared") >= due)
+        .select("doc_id", "w", "item_id", "item_w")
+    )
     sides = (
         pairs.join(hit.select("doc_id", F.xxhash64("words").alias("w"), F.col("words").alias("a")).dropDuplicates(["doc_id", "w"]), ["doc_id", "w"])
         .join(worded.select("item_id", F.xxhash64("words").alias("item_w"), F.col("words").alias("b")), ["item_id", "item_w"])
@@ -234,17 +245,17 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
 
 
 def seed_items(worded: DataFrame, width: int) -> DataFrame:
-    """(seed, item_id, item_w): which items hold which seed."""
+    """(seed, item_id, item_w, item_n, times): which items hold which seed, how often, and their words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes = Codes()
         for b in batches:
             for i, w, x in zip(b["item_id"], b["words"], b["item_w"]):
-                h = np.unique(running(np.fromiter((codes[y] for y in w), np.uint64, len(w)), width)).view(np.int64)
-                yield pd.DataFrame({"seed": h, "item_id": i, "item_w": x})
+                h, times = np.unique(running(np.fromiter((codes[y] for y in w), np.uint64, len(w)), width), return_counts=True)
+                yield pd.DataFrame({"seed": h.view(np.int64), "item_id": i, "item_w": x, "item_n": len(w), "times": times})
 
     kind = worded.schema["item_id"].dataType.simpleString()
-    return worded.withColumn("item_w", F.xxhash64("words")).mapInPandas(run, f"seed bigint, item_id {kind}, item_w bigint")
+    return worded.withColumn("item_w", F.xxhash64("words")).mapInPandas(run, f"seed bigint, item_id {kind}, item_w bigint, item_n int, times bigint")
 
 
 def _tile(sides: DataFrame, width: int) -> DataFrame:
