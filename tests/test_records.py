@@ -135,6 +135,29 @@ def test_load_gives_typed_rows(spark):
     assert r.event_ts == datetime(2020, 9, 13, 12, 26, 40)
 
 
+def test_every_message_is_either_found_or_loaded(spark):
+    early, late = datetime(2020, 9, 13, 12, 26, 39), datetime(2020, 9, 13, 12, 26, 41)
+    schema = "kafka_partition int, kafka_offset bigint, payload string, ingested_at timestamp_ntz"
+    bronze = [(1, 1, 1, made(), late), (2, 1, 1, made(), early), (3, 1, 2, made(), late), (4, 1, 3, made(), None), (5, 1, 4, "{", late), (6, 1, 5, made(), late), (7, 1, 5, "{", late), (8, None, 6, made(), late)]
+    b = spark.createDataFrame(bronze, "delivery_id bigint, " + schema)
+    r = spark.createDataFrame([(2, 1, made(), late), (2, 1, made(), late), (2, 2, None, late), (2, 3, made(), early)], schema)
+    found = {(x.kafka_partition, x.kafka_offset) for x in R.failing(b.drop("delivery_id"), r).collect()}
+    loaded = sorted((x.kafka_partition or 0, x.kafka_offset, x.delivery_id or 0) for x in R.load(b, r).collect())
+    assert found == {(1, 1), (1, 4), (1, 5), (2, 2), (2, 3)}
+    assert loaded == [(0, 6, 8), (1, 2, 3), (1, 3, 4), (2, 1, 0), (2, 1, 0)]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001"])
+def test_found_and_loaded_split_the_messages_of_both_tables(spark, sf):
+    from tidemark.plans.pipeline_problems import QUERIES
+    from tidemark.sources.tables import table
+
+    d, key = f"/root/testdata/{sf}", ["kafka_partition", "kafka_offset"]
+    found, loaded = ([tuple(x) for x in QUERIES[q](spark, d).select(*key).distinct().collect()] for q in ("p5_found", "p5_loaded"))
+    every = table(spark, d, "bronze_reviews").select(*key).unionByName(table(spark, d, "silver_rejects").select(*key)).distinct().collect()
+    assert sorted(found + loaded, key=str) == sorted((tuple(x) for x in every), key=str)
+
+
 def test_other_columns_pass_and_clashing_ones_give_way(spark):
     df = spark.createDataFrame([("{", 1, "mine", "keep")], "payload string, ts_ms int, reason string, _payload string")
     r = R.parse(df).first()

@@ -319,10 +319,21 @@ def failing(*sources: DataFrame) -> DataFrame:
     ).where("reject_reason is not null")
 
 
-def load(df: DataFrame) -> DataFrame:
-    """Valid rows of one table as typed records, one per delivery, with its arrival."""
-    ok = parse(df.select("delivery_id", "kafka_partition", "kafka_offset", "ingested_at", "payload"), typed=True)
-    in_time = F.col("ts_ms") <= F.unix_millis(F.col("ingested_at").cast("timestamp"))
-    return ok.where(F.col("reason").isNull() & in_time).select(
+def load(*sources: DataFrame) -> DataFrame:
+    """Rows of several tables whose messages do not fail, as typed records, one per delivery.
+
+    What fails is decided by ``failing`` over the same tables, so every message
+    is either there or here, those without an arrival too.  Rows of a table
+    without ``delivery_id`` have a null one.
+    """
+    cols = ["kafka_partition", "kafka_offset", "payload", "ingested_at"]
+    rows = None
+    for s in sources:
+        own = F.col("delivery_id") if "delivery_id" in s.columns else F.lit(None)
+        part = s.select(own.cast("bigint").alias("delivery_id"), *cols[:3])
+        rows = part if rows is None else rows.unionByName(part)
+    bad = failing(*(s.select(*cols) for s in sources)).select(F.col("kafka_partition").alias("_p"), F.col("kafka_offset").alias("_o"))
+    same = F.col("kafka_partition").eqNullSafe(F.col("_p")) & F.col("kafka_offset").eqNullSafe(F.col("_o"))
+    return parse(rows, typed=True).where("reason is null").join(bad, same, "left_anti").select(
         "delivery_id", "kafka_partition", "kafka_offset", F.timestamp_millis("ts_ms").cast("timestamp_ntz").alias("event_ts"), *_TYPED.names
     )

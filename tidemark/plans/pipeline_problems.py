@@ -45,7 +45,7 @@ QUERIES = {
     "p4_found": _p4(late.past_cutoff),
     "p4_month_versions": _p4(late.monthly_versions),
     "p5_found": _p5_found,
-    "p5_loaded": lambda s, d: records.load(table(s, d, "bronze_reviews")),
+    "p5_loaded": lambda s, d: records.load(table(s, d, "bronze_reviews"), table(s, d, "silver_rejects")),
     "p6_found": lambda s, d: heavy.heavy_keys(table(s, d, "bronze_reviews"), "kafka_key").select(F.col("key").alias("parent_asin")),
     "p6_product_profile": lambda s, d: heavy.product_profile(table(s, d, "silver_reviews")).withColumn("mean_rating", F.round("mean_rating", 9)),
     "p7_found": _p7(arrivals.to_drop),
