@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import replace
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,22 +22,106 @@ def grid(base: decline.Rule, **values: list) -> dict[str, decline.Rule]:
     return {",".join(f"{n}={v}" for n, v in zip(names, combo)): replace(base, **dict(zip(names, combo))) for combo in product(*values.values())}
 
 
-def grid_alerts(spine: DataFrame, rules: dict[str, decline.Rule]) -> DataFrame:
-    """(config, points, evaluable, alerts, products) of every rule over one spine.
-
-    One pass of windows and folds per rule over the cached spine; rules are
-    few and stated.
+def _windows_of(n: np.ndarray, rating: np.ndarray, size: np.ndarray, rule: decline.Rule) -> tuple[np.ndarray, ...]:
+    """Reviews, active months and means of both windows at every point of every series, and which points exist."""
+    sums = [np.concatenate([np.zeros((1, n.shape[1]), x.dtype), np.cumsum(x, axis=0)]) for x in (n, (n > 0).astype(np.int64), rating)]
+    count = max(0, n.shape[0] - rule.baseline - rule.recent + 1)
+    cut = lambda c, lo, hi: c[hi : hi + count] - c[lo : lo + count]
+    end = rule.baseline + rule.recent
+    (bn, ba, bs), (rn, ra, rs) = ([cut(c, lo, hi) for c in sums] for lo, hi in ((0, rule.baseline), (rule.baseline, end)))
+    mean = lambda s, c: np.divide(s, c, out=np.zeros_like(s), where=c > 0)
+    there = np.arange(count)[:, None] <= (size - end)[None, :]
+    return bn, ba, mean(bs, bn), rn, ra, mean(rs, rn), there
+
+
+def _alerts(ok: np.ndarray, cond: np.ndarray, rule: decline.Rule) -> np.ndarray:
+    """Episodes of every series: ``decline.episodes`` as a walk over the points, all series at once."""
+    run, falses, gaps, alerts = (np.zeros(ok.shape[1], np.int32) for _ in range(4))
+    active = np.zeros(ok.shape[1], bool)
+    for e, c in zip(ok, ok & cond):
+        gaps += ~e
+        falses += e & ~c
+        gaps[e] = 0
+        falses[c] = 0
+        gaps[e & ~c & (falses >= rule.recovery)] = rule.max_gap + 1
+        shut = active & (gaps > rule.max_gap)
+        run = np.where(c, run + 1, 0)
+        opens = ~active & (run >= rule.persistence)
+        active = (active & ~shut) | opens
+        alerts += opens
+        idle = ~active | opens
+        run[shut] = 0
+        falses[idle] = gaps[idle] = 0
+    return alerts
+
+
+def _permutation(product: str, n: int, block: int, replicate: int, seed: int) -> np.ndarray:
+    """Places from which the months of ``permuted_blocks`` come."""
+    key = lambda salt, what: int(hashlib.sha256(f"{seed}\x1f{salt}\x1f{what}".encode()).hexdigest()[:16], 16) / 2**64
+    shift = int(key(f"shift{replicate}", product) * n)
+    blocks = sorted(range(-(-n // block)), key=lambda b: (key(f"block{replicate}", f"{product}:{b}"), b))
+    placed = np.concatenate([np.arange(b * block, min(n, (b + 1) * block)) for b in blocks])
+    return (placed - shift) % n
+
+
+def _scan(spine: DataFrame, rules: dict[str, decline.Rule], replicates: int, block: int, seed: int) -> DataFrame:
+    """(config, points, evaluable, alerts, products) of every rule over every spine, or over ``replicates`` permutations of each.
+
+    One row per product holds its months; every rule is scored on the same
+    series.  Products with too few reviews for the most lenient rule have no
+    evaluable point and count with their points only.
     """
-    parts = []
-    for name, rule in rules.items():
-        p = decline.points(spine, rule)
-        a = p.agg(F.count(F.lit(1)).alias("points"), F.count(F.when(F.col("evaluable"), 1)).alias("evaluable"))
-        e = decline.episodes(p, rule).agg(F.count(F.lit(1)).alias("alerts"), F.count_distinct("parent_asin").alias("products"))
-        parts.append(a.join(e, F.lit(True)).withColumn("config", F.lit(name)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("config", "points", "evaluable", "alerts", "products")
+    few = min(2 * r.min_reviews for r in rules.values())
+    series = spine.groupBy("parent_asin").agg(F.sort_array(F.collect_list(F.struct("ix", F.col("review_count").cast("bigint").alias("n"), F.col("rating_sum").cast("double").alias("s")))).alias("m"))
+    series = series.select("parent_asin", F.col("m.n").alias("n"), F.col("m.s").alias("s"))
+
+    def chunk(some: list[tuple[str, np.ndarray, np.ndarray]], out: dict[str, np.ndarray]) -> None:
+        size = np.array([len(n) for _, n, _ in some for _ in range(max(1, replicates))])
+        n, rating = np.zeros((size.max(), len(size)), np.int64), np.zeros((size.max(), len(size)))
+        at = 0
+        for product, one, stars in some:
+            for r in range(1, replicates + 1) if replicates else [0]:
+                order = _permutation(product, len(one), block, r, seed) if r else slice(None)
+                n[: len(one), at], rating[: len(one), at] = one[order], stars[order]
+                at += 1
+        by: dict[tuple[int, int], list[str]] = {}
+        for name, rule in rules.items():
+            by.setdefault((rule.baseline, rule.recent), []).append(name)
+        for names in by.values():
+            bn, ba, bm, rn, ra, rm, there = _windows_of(n, rating, size, rules[names[0]])
+            for name in names:
+                rule = rules[name]
+                ok = there & (bn >= rule.min_reviews) & (rn >= rule.min_reviews) & (ba >= rule.min_active) & (ra >= rule.min_active)
+                hot = np.flatnonzero((ok & (rm <= bm - rule.delta)).sum(axis=0) >= rule.persistence)
+                alerts = _alerts(ok[:, hot], rm[:, hot] <= bm[:, hot] - rule.delta, rule)
+                out[name] += [0, ok.sum(), alerts.sum(), len(set((hot[alerts > 0] // max(1, replicates)).tolist()))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = {k: np.zeros(4, np.int64) for k in rules}
+        waiting: list[tuple[str, np.ndarray, np.ndarray]] = []
+        for b in batches:
+            for product, n, s in zip(*(c.to_pylist() for c in b.columns)):
+                for k, r in rules.items():
+                    out[k][0] += max(1, replicates) * max(0, len(n) - r.baseline - r.recent + 1)
+                if sum(n) >= few:
+                    waiting.append((product, np.array(n, np.int64), np.array(s, np.float64)))
+                if len(waiting) * max(1, replicates) >= 512:
+                    chunk(waiting, out)
+                    waiting = []
+        if waiting:
+            chunk(waiting, out)
+        yield pa.RecordBatch.from_arrays([pa.array(list(rules)), *(pa.array([int(v[i]) for v in out.values()], pa.int64()) for i in range(4))], ["config", *_COUNTS])
+
+    found = series.mapInArrow(run, "config string, " + ", ".join(f"{c} bigint" for c in _COUNTS))
+    return found.groupBy("config").agg(*(F.sum(c).alias(c) for c in _COUNTS))
+
+
+_COUNTS = ("points", "evaluable", "alerts", "products")
+
+
+def grid_alerts(spine: DataFrame, rules: dict[str, decline.Rule]) -> DataFrame:
+    """(config, points, evaluable, alerts, products) of every rule over one spine."""
+    return _scan(spine, rules, 0, 1, 0)
 
 
 def permuted_blocks(spine: DataFrame, block: int, replicate: int, seed: int) -> DataFrame:
@@ -57,12 +145,8 @@ def permuted_blocks(spine: DataFrame, block: int, replicate: int, seed: int) ->
 
 
 def placebo(spine: DataFrame, rules: dict[str, decline.Rule], block: int, replicates: int, seed: int) -> DataFrame:
-    """(config, replicates, alerts, evaluable): alerts on spines whose months were permuted in blocks."""
-    u = None
-    for r in range(1, replicates + 1):
-        p = grid_alerts(permuted_blocks(spine, block, r, seed), rules)
-        u = p if u is None else u.unionByName(p)
-    return u.groupBy("config").agg(F.count(F.lit(1)).alias("replicates"), F.sum("alerts").alias("alerts"), F.sum("evaluable").alias("evaluable"))
+    """(config, replicates, alerts, evaluable): alerts on the spines of ``permuted_blocks`` 1 to ``replicates``."""
+    return _scan(spine, rules, replicates, block, seed).select("config", F.lit(replicates).cast("bigint").alias("replicates"), "alerts", "evaluable")
 
 
 def injected(months: DataFrame, start: DataFrame, share: float, stars: float) -> DataFrame:

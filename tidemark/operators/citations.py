@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import draw_key
-from .scoring import poisson_weight
+from .ordering import numbered
 
 # The rules of the contract in their order.
 RULES = ("terminal", "refusal_empty", "claims_cite", "citations_retrieved", "citations_in_scope")
@@ -45,33 +50,52 @@ def window_ratings(reviews: DataFrame, windows: DataFrame) -> DataFrame:
     return reviews.join(w, inside).groupBy("parent_asin", "window").agg(F.count(F.lit(1)).alias("n"), F.sum("rating").alias("s"))
 
 
-def decline_bound(reviews: DataFrame, windows: DataFrame, draws: int = 40, seed: int = 7, low: float = 0.05) -> DataFrame:
-    """(parent_asin, bound, rank): a resampled lower bound of baseline mean less recent mean.
+def decline_bound(reviews: DataFrame, windows: DataFrame, draws: int = 2000, seed: int = 20260911, low: float = 0.025, key: str = "parent_asin") -> DataFrame:
+    """(key, parent_asin, draws, bound, rank): a resampled lower bound of baseline mean less recent mean.
 
-    Every review gets a Poisson weight per draw from a hash; weighted sums per
-    product, window and draw are all that is exchanged.
+    ``windows`` is (key, parent_asin, window, lo, hi).  Ratings of a window are
+    folded to counts by star; a resample of n ratings with replacement is then
+    a multinomial draw of those counts.  The generator is seeded by the key.  A
+    case with an empty window has no bound.  The bound is the value at index
+    ``low * draws`` of the sorted differences; every case is ranked.
     """
-    w = windows.select(F.col("parent_asin").alias("w_asin"), "window", "lo", "hi")
+    if draws < 100:
+        raise ValueError(f"{draws} draws can't support a lower bound")
+    w = windows.select(F.col(key).alias("_key"), F.col("parent_asin").alias("w_asin"), "window", "lo", "hi")
     inside = (F.col("parent_asin") == F.col("w_asin")) & F.col("ix").between(F.col("lo"), F.col("hi"))
-    x = reviews.join(w, inside).select("parent_asin", "window", "review_id", "rating", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    x = x.withColumn("k", poisson_weight(F.col("review_id"), F.col("draw"), seed)).where("k > 0")
-    base, recent = F.col("window") == "baseline", F.col("window") == "recent"
-    s = x.groupBy("parent_asin", "draw").agg(*(F.sum(F.when(c, v)).alias(n) for n, c, v in (("bs", base, F.col("k") * F.col("rating")), ("bn", base, F.col("k")), ("rs", recent, F.col("k") * F.col("rating")), ("rn", recent, F.col("k")))))
-    d = s.select("parent_asin", (F.try_divide("bs", "bn") - F.try_divide("rs", "rn")).alias("d")).where("d is not null")
-    n = F.count(F.lit(1))
-    bound = d.groupBy("parent_asin").agg(n.alias("draws"), F.element_at(F.sort_array(F.collect_list(F.round("d", 9))), F.greatest(F.lit(1), F.ceil(n * low)).cast("int")).alias("bound"))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("bound"), "parent_asin")
-    return bound.orderBy(F.desc("bound"), "parent_asin").limit(60).withColumn("rank", F.row_number().over(order))
+    stars = reviews.where("rating is not null").groupBy("parent_asin", "ix", "rating").agg(F.count(F.lit(1)).alias("n"))
+    cells = stars.join(w, inside).groupBy("_key", "parent_asin", "window", "rating").agg(F.sum("n").alias("n"))
+    cell = F.struct(F.col("rating").cast("double").alias("rating"), "n")
+    both = cells.groupBy("_key", "parent_asin").agg(*(F.sort_array(F.collect_list(F.when(F.col("window") == x, cell))).alias(x) for x in ("baseline", "recent")))
+    both = both.where((F.size("baseline") > 0) & (F.size("recent") > 0)).select("_key", "parent_asin", *(F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in ("baseline", "recent") for c in ("rating", "n")))
+
+    def means(rng: np.random.Generator, rating: list[float], n: list[int]) -> np.ndarray:
+        total = sum(n)
+        return rng.multinomial(total, np.array(n) / total, size=draws) @ np.array(rating) / total
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bounds = []
+            for k, _, br, bn, rr, rn in zip(*(c.to_pylist() for c in b.columns)):
+                rng = np.random.default_rng(int(hashlib.sha256(f"{seed}:{k}".encode()).hexdigest()[:16], 16))
+                d = means(rng, br, bn) - means(rng, rr, rn)
+                at = min(draws - 1, max(0, int(low * draws)))
+                bounds.append(round(float(np.partition(d, at)[at]), 6) + 0.0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([draws] * len(bounds), pa.int64()), pa.array(bounds, pa.float64())], ["_key", "parent_asin", "draws", "bound"])
+
+    bound = both.mapInArrow(run, "_key string, parent_asin string, draws bigint, bound double")
+    ranked = numbered(bound, F.desc("bound"), "parent_asin", "_key").withColumn("rank", F.col("pos") + 1).drop("pos")
+    return ranked.drop("_key") if key == "parent_asin" else ranked.withColumnRenamed("_key", key)
 
 
 def distinct_slots(ranked: DataFrame, controls: DataFrame, wanted: int) -> list[dict]:
     """Greedy choice over few ranked cases: each takes its nearest control not used so far.
 
     ``ranked`` (episode_id, parent_asin, rank), ``controls`` (episode_id,
-    control_asin, control_rank).  At most 60 cases are looked at, so this
-    walks a bounded list on the driver.
+    control_asin, control_rank).  The driver walks the ranking range by range
+    until the slots are filled.
     """
-    rows = ranked.orderBy("rank").limit(60).join(controls, "episode_id", "left").orderBy("rank", "control_rank").collect()
+    rows = ranked.select("episode_id", "parent_asin", "rank").join(controls, "episode_id").orderBy("rank", "control_rank").toLocalIterator()
     used: set[str] = set()
     chosen: list[dict] = []
     seen: set[str] = set()

@@ -111,9 +111,10 @@ def resampled_macro(clustered: DataFrame, draws: int, seed: int) -> DataFrame:
     cluster and draw where the cluster's counts lie, then summed with
     map-side combining; resamples are never materialised.
     """
-    x = clustered.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    own = clustered.groupBy("cluster").agg(F.collect_list(F.struct("theme", "tp", "fp", "fn")).alias("own"))  # one hash serves all themes
+    x = own.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     w = poisson_weight(F.col("cluster"), F.col("draw"), seed)
-    s = x.withColumn("w", w).where("w > 0").groupBy("draw", "theme").agg(*(F.sum(F.col(c) * F.col("w")).cast("long").alias(c) for c in ("tp", "fp", "fn")))
+    s = x.select("draw", w.alias("w"), "own").where("w > 0").select("draw", "w", F.inline("own")).groupBy("draw", "theme").agg(*(F.sum(F.col(c) * F.col("w")).cast("long").alias(c) for c in ("tp", "fp", "fn")))
     return s.groupBy("draw").agg(F.avg(f1(F.col("tp"), F.col("fp"), F.col("fn"))).alias("macro_f1"))
 
 

@@ -59,8 +59,15 @@ def _disjoint(s, d):
 def _slots(s, d):
     p = gold._points(s, d)
     e = gold.decline.episodes(p, gold.RULE)
-    ranked = e.orderBy(F.desc("max_drop"), "episode_id").limit(60).select("episode_id", "parent_asin", (-F.col("max_drop")).alias("rank"))
-    rows = citations.distinct_slots(ranked, matching.matched_controls(p, e).select("episode_id", "control_asin", "control_rank"), 5)
+    controls = matching.matched_controls(p, e).select("episode_id", "control_asin", "control_rank")
+    at = matching.candidate_points(p, e).join(controls.select("episode_id"), "episode_id", "left_semi").select("episode_id", "parent_asin", "ix")
+    two = F.array(
+        F.struct(F.lit("baseline").alias("window"), (F.col("ix") - (gold.RULE.baseline - 1)).alias("lo"), F.col("ix").alias("hi")),
+        F.struct(F.lit("recent").alias("window"), (F.col("ix") + 1).alias("lo"), (F.col("ix") + gold.RULE.recent).alias("hi")),
+    )
+    r = gold.first_arrivals(s, d).select("parent_asin", "rating", F.expr("int(year(event_ts) * 12 + month(event_ts) - 1)").alias("ix"))
+    ranked = citations.decline_bound(r, at.select("episode_id", "parent_asin", F.explode(two).alias("w")).select("episode_id", "parent_asin", "w.*"), key="episode_id")
+    rows = citations.distinct_slots(ranked, controls, 5)
     return s.createDataFrame([(r["slot"], r["episode_id"], r["parent_asin"], r["control_asin"]) for r in rows], "slot int, episode_id string, parent_asin string, control_asin string")
 
 

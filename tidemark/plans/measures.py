@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..operators import calibration, citations, classifier, decline, late, ordering, profile, scoring, spine
@@ -13,7 +15,12 @@ from . import text
 from .gold import MONTHS, POINTS, RULE, SPINE, _MONTH, first_arrivals, months
 
 GRID = [round(0.05 * i, 2) for i in range(1, 20)]
-DRAWS, SEED = 50, 11
+DRAWS, SEED = 1000, 11
+# The rule fields that calibration holds fixed, the grid that it varies, blocks of months and replicates of the placebo.
+CALIBRATED = calibration.grid(
+    replace(RULE, max_gap=3, recovery=2, min_active=3), baseline=[6, 12], recent=[6, 12], delta=[0.3, 0.5, 0.75, 1.0], persistence=[2, 3, 4], min_reviews=[10, 20, 40]
+)
+BLOCK, REPLICATES = 6, 24
 
 
 def _flat(s, d):
@@ -142,15 +149,11 @@ def _classified(s, d):
 
 
 def _grid_alerts(s, d):
-    m = spine.spine(months(s, d)).drop("month", "mean_rating", "neg_share", "verified_share")
-    shared_dir(s)
-    return calibration.grid_alerts(m.checkpoint(), calibration.grid(RULE, delta=[0.3, 0.5], persistence=[1, 2]))
+    return calibration.grid_alerts(spine.spine(months(s, d)), CALIBRATED)
 
 
 def _placebo(s, d):
-    m = spine.spine(months(s, d)).drop("month", "mean_rating", "neg_share", "verified_share")
-    shared_dir(s)
-    return calibration.placebo(m.checkpoint(), calibration.grid(RULE, delta=[0.5, 0.7]), 6, 2, SEED)
+    return calibration.placebo(spine.spine(months(s, d)), CALIBRATED, BLOCK, REPLICATES, SEED)
 
 
 def _permuted(s, d):
