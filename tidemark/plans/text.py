@@ -117,6 +117,50 @@ def _hybrid(s, d):
     return f.where("rank <= 20").withColumn("score", F.round("score", 9))
 
 
+def _embedded(s, d):
+    """(review_id, v): the latest vector of each review in the specification that most reviews have."""
+    e = table(s, d, "review_embeddings").where("review_id is not null and size(vector) > 0").withColumn("spec", F.coalesce("embedding_spec_hash", F.lit("")))
+    most = e.groupBy("spec").agg(F.count_distinct("review_id").alias("n")).orderBy(F.desc("n"), "spec").limit(1).select("spec")
+    latest = F.max(F.struct("embedded_at", "vector")).alias("m")
+    return e.join(F.broadcast(most), "spec").groupBy("review_id").agg(latest).select("review_id", F.col("m.vector").alias("v"))
+
+
+def _review_legs(s, d, k=50):
+    """BM25 over title and text of all reviews, and kNN over their vectors, for embedded reviews whose first offset divides by 200.
+
+    A query asks with the title and the vector of its review, which is not among its own hits.
+    """
+    r = table(s, d, "silver_reviews").groupBy("review_id").agg(F.min(F.struct("kafka_partition", "kafka_offset", "title", "text")).alias("m")).select("review_id", "m.*")
+    v = _embedded(s, d)
+    asked = r.where("kafka_offset % 200 = 0").join(v, "review_id").select(F.col("review_id").alias("query_id"), F.col("title").alias("text"), F.col("v").alias("q"))
+    posted = retrieval.postings(r, F.concat_ws(" ", "title", "text"), "review_id")
+    hits = retrieval.bm25(posted, retrieval.query_terms(asked), identifier="review_id").where("query_id <> review_id")
+    bm25 = retrieval.ranked(hits.withColumn("score", F.round("score", 9)), k, "review_id")
+    knn = retrieval.cosine_knn(v, asked.select("query_id", "q"), k, "review_id")
+    return {"bm25": bm25, "knn": knn}
+
+
+def _review_hybrid(s, d):
+    f = retrieval.fuse(_review_legs(s, d), identifier="review_id")
+    return f.where("rank <= 20").withColumn("score", F.round("score", 9))
+
+
+def _review_pool(s, d):
+    return retrieval.pool(_review_legs(s, d), 10, "review_id")
+
+
+def _review_completeness(s, d):
+    """Judged are reviews of the query's product."""
+    r = table(s, d, "silver_reviews").select("review_id", "parent_asin").distinct()
+    p = _review_pool(s, d)
+    q = p.select("query_id").distinct().join(r.withColumnRenamed("review_id", "query_id"), "query_id")
+    return retrieval.completeness(p, q.join(r, "parent_asin").select("query_id", "review_id"), "review_id")
+
+
+def _review_fusion_recall(s, d):
+    return retrieval.overlap_summary(retrieval.overlap(_review_hybrid(s, d), _review_legs(s, d)["knn"], 10, "review_id"))
+
+
 def _judged(s, d):
     """Relevant is what shares the query's label."""
     e = table(s, d, "embeddings").select("vec_id", "label")
@@ -173,6 +217,10 @@ QUERIES = {
     "search_measures": _measures,
     "search_fusion_recall": _fusion_recall,
     "search_norm_audit": _norm_audit,
+    "search_review_hybrid": _review_hybrid,
+    "search_review_pool": _review_pool,
+    "search_review_completeness": _review_completeness,
+    "search_review_fusion_recall": _review_fusion_recall,
 }
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in terms.STOPWORDS) + "]"
