@@ -1,5 +1,7 @@
 """Neighbour search: exact where one list holds all, high recall where many do, copies and bad vectors."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -102,3 +104,11 @@ def test_large_list_is_divided_again(monkeypatch):
 def test_tiny_lists(n):
     row, near, _ = N.nearest(np.eye(3, dtype=np.float32)[:n], np.ones(n, bool), 5)
     assert len(row) == n * (n - 1) and all(a != b for a, b in zip(row, near))
+
+
+def test_superseded_vectors_take_no_places(spark):
+    at = lambda a: [math.cos(a), math.sin(a)]
+    rows = [("a", at(0.0), 1), ("b", at(0.5), 2), ("c", at(0.6), 2), ("d", at(3.0), 9)] + [("d", at(0.01 * i), i) for i in range(1, 7)]
+    df = spark.createDataFrame(rows, "id string, v array<double>, ts int")
+    got = {(r.id, r["rank"]): r.neighbour for r in N.neighbours(df, 2, "id", "v", 2, ts_col="ts").collect()}
+    assert len(got) == 8 and (got["a", 1], got["a", 2]) == ("b", "c")

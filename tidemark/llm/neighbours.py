@@ -231,7 +231,10 @@ def _keys(x: np.ndarray) -> list[bytes]:
 
 
 def _holders(df: DataFrame, dims: int) -> DataFrame:
-    """(spec, id, vkey, wanted): one row per id and specification that counts; no vectors."""
+    """(spec, id, vkey, wanted, several): one row per id and specification that counts; no vectors.
+
+    ``several`` says that the id has different vectors, of which the others are superseded.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -241,7 +244,7 @@ def _holders(df: DataFrame, dims: int) -> DataFrame:
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     made = df.select("spec", "id", "ts", "wanted", "vector").mapInArrow(run, f"spec string, id string, ts {kinds['ts']}, wanted boolean, vkey binary")
-    return made.groupBy("spec", "id").agg(F.max(F.struct("ts", "vkey", "wanted")).alias("m")).select("spec", "id", "m.vkey", "m.wanted")
+    return made.groupBy("spec", "id").agg(F.max(F.struct("ts", "vkey", "wanted")).alias("m"), (F.min("vkey") != F.max("vkey")).alias("several")).select("spec", "id", "m.vkey", "m.wanted", "several")
 
 
 def _vectors(df: DataFrame, dims: int) -> DataFrame:
@@ -361,7 +364,10 @@ def neighbours(df: DataFrame, k: int, id_col: str, vector_col: str, dims: int, s
     if len(sizes) > SPECS:
         raise ValueError(f"more than {SPECS} specifications")
     graphs = spark.sparkContext.broadcast(fit(rows, sizes, dims) if sizes else {})
-    scanned = _scan(_postings(_vectors(rows, dims), graphs, dims), k, dims)
+    vectors = _vectors(rows, dims)
+    if holders.where("several").limit(1).count():  # superseded vectors would take places of the k nearest
+        vectors = vectors.join(holders.select("spec", "vkey").distinct(), ["spec", "vkey"], "left_semi")
+    scanned = _scan(_postings(vectors, graphs, dims), k, dims)
     # at most REPLICAS lists reported each vector, so these arrays are bounded
     near = (
         scanned.groupBy("spec", "vkey", "nkey")
