@@ -74,3 +74,14 @@ def test_held_out_accuracy_on_rated_documents():
     model = R.Model(*R.fit_levels([r[1] for r in fit], target), None, 0)
     level, _, _ = model.classify([r[1] for r in held])
     assert np.mean([a == r[2][0] for a, r in zip(level, held)]) > 0.9
+
+
+@pytest.mark.parametrize("langs", [(None, None), ("en", "en"), (None, "de")])
+def test_rated_documents_are_english_whatever_lang_says(spark, langs):
+    say = ["The cat sat on the mat and it was happy.", "We walked to the shop and bought some bread.", "Results were largely consistent with the theory.", "The epistemological framework presupposes rigorous inference."]
+    other = ["Der Hund lief schnell durch den dunklen Wald.", "Wir kauften gestern Brot und frische Milch im Laden."] if langs[1] == "de" else []
+    docs = [(i, say[i % 4], langs[0]) for i in range(40)] + [(100 + i, other[i % 2], "de") for i in range(20) if other]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    ratings = spark.createDataFrame([(i, "r1", i % 4 + 1) for i in range(40)], "doc_id bigint, rater string, level int")
+    found = {r.doc_id for r in R.demanding(d, ratings).collect()}
+    assert found and found <= set(range(3, 40, 4))

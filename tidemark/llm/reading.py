@@ -199,7 +199,7 @@ class Model:
     words: Linear | None
     calibration: np.ndarray | None
     language: Linear | None
-    english: int
+    english: int | None
 
     def classify(self, texts: list[str | None]) -> tuple[list, list, list]:
         """Level, level probabilities and share of English against its likeliest rival, of each text; null where undefined."""
@@ -217,6 +217,9 @@ class Model:
             rival = share.max(1)
             for i in has:
                 english[i] = float(own[i] / max(own[i] + rival[i], 1e-9))
+        elif self.english is not None:  # no rival language
+            for i in has:
+                english[i] = 1.0
         if self.chars is not None:
             log_p = (self.chars.log_p(fc) + self.words.log_p(fw))[which]
             got = softmax(profile(log_p, owner, size, len(texts)) @ self.calibration)
@@ -285,7 +288,12 @@ def fit_language(texts: list[str], which: np.ndarray, classes: int) -> Linear |
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on the bounded samples, which two scans collect to the driver."""
+    """Fit on the bounded samples, which two scans collect to the driver.
+
+    Rated documents are English even where no ``lang`` says so.  Without another
+    language every document counts as English.  Languages beyond the most
+    frequent ``LANGUAGES`` have no class of their own.
+    """
     spark_docs = docs.select("doc_id", "text", "lang").where(F.length("text").between(1, FIT_CHARS))
     order = F.xxhash64(F.col("doc_id"), F.lit(7))
     rated = (
@@ -302,6 +310,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     lang = F.substring(F.lower(F.trim("lang")), 1, 2)
     found = docs.select(lang.alias("lang")).where("lang <> ''").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     common = [r.lang for r in found]
+    if rows and "en" not in common:
+        common.append("en")
     # a threshold on the hash leaves about four times PER_LANGUAGE documents of each, so that ranks move few texts
     drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(2**32))
     cut = F.coalesce(*(F.when(F.col("lang") == r.lang, F.lit(int(min(1.0, 4 * PER_LANGUAGE / r.n) * 2**32))) for r in found), F.lit(0))
@@ -319,7 +329,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     language = None
     if "en" in common and len(common) > 1:
         language = fit_language(texts, np.array(which), len(common))
-    english = common.index("en") if "en" in common else 0
+    english = common.index("en") if "en" in common else None if common else 0
     if not rows:
         return Model(None, None, None, language, english)
     target = np.array([[r[f"n{k}"] for k in range(1, LEVELS + 1)] for r in rows])
