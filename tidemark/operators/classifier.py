@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that a model is fitted on at most, drawn by hash of the identifier.
+#: Rows that a regression is fitted on at most, drawn by hash of the identifier; vocabulary and document frequencies are of all rows.
 FIT_ROWS = 20_000
 
 
@@ -26,8 +26,9 @@ def features(vocabulary: int = 20_000, min_docs: int = 3) -> Pipeline:
 
 def train(rows: DataFrame, themes: list[str]) -> tuple[PipelineModel, dict]:
     """``rows`` is (id, text, themes); text may be null.  A theme without both classes has no model."""
-    fit = rows.orderBy(F.xxhash64("id")).limit(FIT_ROWS).withColumn("text", F.coalesce("text", F.lit(""))).checkpoint()
-    encoder = features().fit(fit)
+    every = rows.withColumn("text", F.coalesce("text", F.lit("")))
+    encoder = features().fit(every)
+    fit = every.orderBy(F.xxhash64("id")).limit(FIT_ROWS).checkpoint()
     coded = encoder.transform(fit).select("themes", "features").checkpoint()
     models = {}
     for t in themes:

@@ -144,7 +144,7 @@ def _decline_bounds(s, d):
 def _classified(s, d):
     shared_dir(s)
     rows = _flat(s, d).select("id", "text", F.col("ref").alias("themes"))
-    encoder, models = classifier.train(rows, ["broken", "praise"])
+    encoder, models = classifier.train(rows, ["broken", "regret", "praise"])
     return classifier.predict(rows, encoder, models, {}).select("id", "theme", F.round("score", 6).alias("score"), "predicted")
 
 
