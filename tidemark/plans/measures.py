@@ -172,9 +172,14 @@ def _events_latest(s, d):
     return ordering.latest(e, ["user_id"], "ts", "event_id")
 
 
-def _quantiles(s, d):
+def _percentiles(s, d):
     e = table(s, d, "silver_reviews").select(F.col("text_word_count").cast("double").alias("n"))
-    return profile.quantiles(e, "n", [0.5, 0.9, 0.99]).select(F.col("mean"), "most").withColumn("mean", F.round("mean", 6))
+    return profile.quantiles(e, "n", [0.5, 0.9, 0.99]).withColumn("mean", F.round("mean", 6))
+
+
+def _quantiles(s, d):
+    """Mean and maximum only, as its SQL; the quantiles are in ``profile_percentiles``."""
+    return _percentiles(s, d).select("mean", "most")
 
 
 QUERIES = {
@@ -194,6 +199,7 @@ QUERIES = {
     "order_release": _release,
     "order_latest": _events_latest,
     "profile_quantiles": _quantiles,
+    "profile_percentiles": _percentiles,
     "profile_distribution": lambda s, d: profile.distribution(table(s, d, "silver_reviews"), F.col("rating"), "rating"),
     "profile_shared_keys": lambda s, d: profile.shared_keys(table(s, d, "silver_reviews").select("review_id", "parent_asin", "rating", "title", "text", "helpful_vote", "verified_purchase")),
     "profile_digest": lambda s, d: profile.digest(table(s, d, "silver_reviews"), "review_id", "rating", "text"),
