@@ -3,6 +3,7 @@
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import arrivals, heavy, late, rolling
 from tidemark.session import scratch
@@ -118,3 +119,69 @@ def test_buckets_do_not_repeat_totals(spark, f, name):
     rows = [("A", None, date(2019 + i // 12, i % 12 + 1, 1), 1, 1.0, 1.0, 0, 1) for i in range(40)]
     got = {r.month: (r.reviews_3, r.reviews_12) for r in f(spark, months(spark, rows)).collect()}
     assert all(v == (min(3, i + 1), min(12, i + 1)) for i, (_, v) in enumerate(sorted(got.items()))) and len(got) == 40
+
+
+def _spread(spark):
+    """Two deliveries of each of 30 messages, far apart in time, and a message sent again under another offset."""
+    rows = [(k, 0, k % 30, datetime(2020, 1 + 6 * (k // 30), 1 + k % 28)) for k in range(60)] + [(90, 0, 77, datetime(2021, 1, 1))]
+    b = spark.createDataFrame(rows, "delivery_id bigint, kafka_partition int, kafka_offset bigint, ingested_at timestamp_ntz")
+    return b, spark.createDataFrame([("same", 0, 3), ("same", 0, 77)], "review_id string, kafka_partition int, kafka_offset bigint")
+
+
+def test_bits_of_earlier_batches_decide(spark, monkeypatch):
+    b, r = _spread(spark)
+    assert sorted(x.delivery_id for x in arrivals.to_drop(b, r).collect()) == [*range(30, 60), 90]
+    monkeypatch.setattr(arrivals, "_bit_set", lambda bits, pos: F.lit(False))
+    assert arrivals.to_drop(b, r).count() < 31
+
+
+def test_number_of_batches_and_shards_changes_nothing(spark, monkeypatch):
+    b, r = _spread(spark)
+    monkeypatch.setattr(arrivals, "PER_SHARD", 4)
+    monkeypatch.setattr(arrivals, "SHARDS", 2)
+    for n in (1, 2, 7):
+        assert sorted(x.delivery_id for x in arrivals.to_drop(b, r, batches=n).collect()) == [*range(30, 60), 90]
+
+
+def test_state_of_an_earlier_run_decides(spark, monkeypatch):
+    b, r = _spread(spark)
+    root = scratch(spark, "runs")
+    assert sorted(x.delivery_id for x in arrivals.to_drop(b.where("delivery_id < 20"), r, root, "a").collect()) == []
+    monkeypatch.setattr(arrivals, "PER_SHARD", 1)  # more shards than before: known identifiers keep their codes
+    assert sorted(x.delivery_id for x in arrivals.to_drop(b.where("delivery_id >= 20"), r, root, "b").collect()) == [*range(30, 60), 90]
+    seen = arrivals.Seen.load(VersionedTable(spark, root))
+    assert seen.dictionary.select("shard", "pos").distinct().count() == 30 == seen.bitmaps.selectExpr("sum(bitmap_count(bits)) n").first().n
+
+
+def test_small_batch_replaces_only_touched_parts(spark):
+    rows = [(f"m{i}", i, datetime(2020, 1, 1)) for i in range(300)]
+    root = scratch(spark, "seen")
+    table = VersionedTable(spark, root)
+    arrivals.take(spark.createDataFrame(rows, NAMED), root, "a")
+    before = {p["path"] for p in table.entry(1)["parts"]}
+    arrivals.take(spark.createDataFrame([("new", 999, None)], NAMED), root, "b")
+    after = {p["path"] for p in table.entry(2)["parts"]}
+    assert len(before - after) == 1 and len(after - before) == 2
+
+
+def test_versions_share_parts_and_conflicts_are_refused(spark, monkeypatch):
+    from tidemark.sources.versioned import Conflict
+
+    t = VersionedTable(spark, scratch(spark, "parts"))
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b/=", 3), (None, 4)], "k string, v int")
+    t.write(df, "one", "k")
+    t.replace_partitions(spark.createDataFrame([("b/=", 9), ("c", 5)], "k string, v int"), "two")
+    assert sorted((r.k or "", r.v) for r in t.read().collect()) == [("", 4), ("a", 1), ("a", 2), ("b/=", 9), ("c", 5)]
+    kept = {p["value"]: p["path"] for p in t.entry(1)["parts"]}
+    assert {p["value"]: p["path"] for p in t.entry(2)["parts"]}["a"] == kept["a"] and t.read(1).count() == 4
+    t.merge(spark.createDataFrame([("a", 2, 7)], "k string, v int, w int").select("k", "v"), ["k", "v"], "three")
+    assert t.read().count() == 5 and sorted(r.v for r in t.read(only=["a"]).collect()) == [1, 2]
+    with pytest.raises(ValueError, match="several rows"):
+        t.merge(df, ["k"], "twice")
+    stale = VersionedTable(spark, t.root)
+    monkeypatch.setattr(stale, "current", lambda: 2)
+    with pytest.raises(Conflict):
+        stale.append(df, "late")
+    assert t.current() == 3 and [r.version for r in t.snapshots().orderBy("version").collect()] == [1, 2, 3]
+    assert spark.sql(f"select sum(v) s from {t.view('parted', 1)}").first().s == 10 and t.refs().count() == 4
+    assert t.expire(1) == [1, 2] and t.versions() == [3] and t.read().count() == 5

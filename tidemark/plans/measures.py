@@ -117,7 +117,7 @@ def _replaced_partitions(s, d):
     t = VersionedTable(s, scratch(s, "months"))
     p = table(s, d, "product_month").select("parent_asin", "month", "review_count").where("month is not null")
     t.write(p, "load", "month")
-    t.replace_partitions(p.where("month = '2022-01'").withColumn("review_count", F.lit(-1)), "month", "fix")
+    t.replace_partitions(p.where("month = '2022-01'").withColumn("review_count", F.lit(-1)), "fix")
     return t.read().groupBy("month").agg(F.sum("review_count").alias("reviews"), F.count(F.lit(1)).alias("rows"))
 
 
