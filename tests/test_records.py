@@ -162,3 +162,43 @@ def test_other_columns_pass_and_clashing_ones_give_way(spark):
     df = spark.createDataFrame([("{", 1, "mine", "keep")], "payload string, ts_ms int, reason string, _payload string")
     r = R.parse(df).first()
     assert (r.reason, r.ts_ms, r["_payload"]) == ("unparsable_json", None, "keep")
+
+
+def test_recovery_is_linear_in_the_payload():
+    import time
+
+    for text in ('x' + '{"a":' * 120_000 + "1" + "}" * 120_000, 'x' + '{"a":[' * 80_000, 'x{"a":"' * 100_000, '{"rating: 1}' * 60_000):
+        began = time.perf_counter()
+        assert R.judge(text)[0] == "unparsable_json"
+        assert time.perf_counter() - began < 2.0
+
+
+def test_records_inside_a_value_are_recovered_once():
+    faults, found, _ = R.located('x {"a": [{"rating": 1, "images": [{"title": "no record by itself"}]}, {"b": {"title": "t"}}]} {"c": 1} {"rating": 2}')
+    assert [r.get("rating") for r in found] == ["1", None, "2"] and len(faults) == 1
+
+
+ROWS = "delivery_id bigint, kafka_partition int, kafka_offset bigint, payload string, ingested_at timestamp_ntz, at int, reason string"
+
+
+def test_faults_and_recovered_records(spark):
+    t = datetime(2021, 1, 1)
+    broken = '{"title: "x"}' + made(title="saved") + made(rating=9) + "{"
+    rows = [(1, 0, 1, broken, t), (2, 0, 1, broken, t), (3, 0, 2, made(), t), (4, 0, 3, made(rating=None), t), (5, None, None, None, None)]
+    df = spark.createDataFrame([(*r, 7, "clash") for r in rows], ROWS)
+    got = sorted((r.kafka_offset or 0, r.fault_no, r.expected) for r in R.faults(df).collect())
+    assert got == [(0, 1, "payload"), (1, 1, "member"), (1, 2, "member"), (3, 1, "rating")]
+    saved = sorted((r.record_no, r.title, r.rating, r.reason) for r in R.recovered(df).collect())
+    assert saved == [(1, "saved", 5, None), (2, "t", None, "invalid_rating")]
+    assert R.faults(df.limit(0)).count() == 0 == R.recovered(df.limit(0)).count()
+
+
+def test_every_delivery_is_loaded_or_failing(spark):
+    t, later = datetime(2020, 1, 1), datetime(2021, 1, 1)
+    rows = [(1, 0, 1, made(), t), (2, 0, 1, made(), later), (3, 0, 2, made(), None), (4, 0, 3, made(), later), (5, 0, 4, "{", later), (6, None, 4, made(), later)]
+    df = spark.createDataFrame([(*r, 7, "clash") for r in rows], ROWS)
+    loaded = {r.delivery_id for r in R.load(df).collect()}
+    failed = {(r.kafka_partition, r.kafka_offset) for r in R.failing(df).collect()}
+    # message 1 arrived before its own timestamp, so no delivery of it loads
+    assert loaded == {3, 4, 6} and failed == {(0, 1), (0, 4)}
+    assert all(((p, o) in failed) != (i in loaded) for i, p, o, *_ in rows)

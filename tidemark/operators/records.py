@@ -6,7 +6,9 @@ that nesting depth is bounded by memory only.  After a fault the parser
 searches the next record-start anchor, an opening brace with a first member,
 validates it by parsing a whole record from there, and goes on behind it.  So
 a broken quote costs one record, not the rest of the payload.  Each fault tells
-what was expected and where.
+what was expected and where.  Text that has parsed isn't parsed again: records
+inside a value that isn't one itself are taken from the value, so recovery is
+linear in the payload.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir, ship
+
 _STRING = r'"[^"\\\x00-\x1f]*(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*)*"'
 _NUMBER = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 _SCALAR = rf"(?:({_STRING})|({_NUMBER})|(true|false|null))"
@@ -136,6 +140,21 @@ def value(s: str, i: int) -> tuple[object, int]:
             box, key = stack.pop()
 
 
+def inner(got: object) -> list[dict]:
+    """The outermost records inside a parsed value, in the order of the text; a record has a known member."""
+    out, todo = [], [got]
+    while todo:
+        v = todo.pop()
+        if type(v) is dict:
+            if not v.keys().isdisjoint(FIELDS):
+                out.append(v)
+            else:
+                todo.extend(reversed(v.values()))
+        elif type(v) is list:
+            todo.extend(reversed(v))
+    return out
+
+
 def records(s: str) -> tuple[list[object], list[Fault]]:
     """All values of a payload and all faults; no fault and one value means well-formed."""
     found: list[object] = []
@@ -155,14 +174,14 @@ def records(s: str) -> tuple[list[object], list[Fault]]:
                 if not (m := anchor(s, i)):
                     return found, faults
                 try:
-                    got, j = value(s, m.start())
+                    got, i = value(s, m.start())
                 except Fault as g:
+                    faults.append(g)
                     i = max(m.start() + 1, g.at)
                     continue
-                i = m.start() + 1
-                if not got.keys().isdisjoint(FIELDS):
-                    found.append(got)
-                    i = blank(s, j).end()
+                if whole := inner(got):
+                    found.extend(whole)
+                    i = blank(s, i).end()
                     break
     if len(found) > 1 and not faults:
         faults.append(Fault(0, "one value"))
@@ -193,31 +212,47 @@ def integer(v: object) -> int | None:
     return (_LONG if t[0] != "-" else -_LONG) if len(t) > 19 else max(-_LONG, min(_LONG, int(t)))
 
 
-def judge(payload: str | None) -> tuple[str | None, int | None, dict | None, str | None, int]:
-    """(reason, timestamp, record, located fault, records recovered) of one payload.
-
-    The reason is the first that holds of the static ones; whether the
-    timestamp is later than the arrival is left to the caller.
-    """
-    if payload is None:
-        return "unparsable_json", None, None, "payload expected at 0", 0
-    found, faults = records(payload)
-    if faults or type(found[0]) is not dict:
-        whole = sum(type(r) is dict for r in found)
-        return "unparsable_json", None, None, str(faults[0]) if faults else "object expected at 0", whole
-    r = found[0]
+def _checked(r: dict) -> tuple[str | None, int | None, str | None]:
+    """(reason, timestamp, member at fault) of one record by the rules that don't need its arrival."""
     images = r.get("images")
     if images is not None and not (type(images) is list and all(type(x) is dict for x in images)):
-        return "unparsable_json", None, None, "images: array of objects expected", 0
+        return "unparsable_json", None, "images"
     for k in KEYS:
         if _blank(r.get(k)):
-            return "missing_key_field", None, r, k, 0
+            return "missing_key_field", None, k
     if whole_rating(r.get("rating")) is None:
-        return "invalid_rating", None, r, "rating", 0
+        return "invalid_rating", None, "rating"
     ts = integer(r["timestamp"])
     if ts is None or ts < EARLIEST_MS:
-        return "timestamp_out_of_range", ts, r, "timestamp", 0
-    return None, ts, r, None, 0
+        return "timestamp_out_of_range", ts, "timestamp"
+    return None, ts, None
+
+
+def located(payload: str | None) -> tuple[list[tuple[int | None, str]], list[dict], dict | None]:
+    """(faults as position and what was expected, records recovered beside them, the record of a sound payload)."""
+    if payload is None:
+        return [(0, "payload")], [], None
+    found, faults = records(payload)
+    if not faults and type(found[0]) is not dict:
+        faults = [Fault(0, "object")]
+    if faults:
+        return [(f.at, f.expected) for f in faults], [r for r in found if type(r) is dict and not r.keys().isdisjoint(FIELDS)], None
+    _, _, member_at_fault = _checked(found[0])
+    return [(None, member_at_fault)] if member_at_fault else [], [], found[0]
+
+
+def judge(payload: str | None) -> tuple[str | None, int | None, dict | None, str | None, int]:
+    """(reason, timestamp, record, first fault, records recovered) of one payload.
+
+    The reason is the first that holds of the static ones; whether the
+    timestamp is later than the arrival is left to the caller.
+    """
+    faults, beside, r = located(payload)
+    if r is None:
+        at, expected = faults[0]
+        return "unparsable_json", None, None, f"{expected} expected at {at}", len(beside)
+    reason, ts, at_fault = _checked(r)
+    return reason, ts, r, at_fault, 0
 
 
 _VERDICT = pa.schema([("reason", pa.string()), ("fault", pa.string()), ("recovered", pa.int32()), ("ts_ms", pa.int64())])
@@ -248,15 +283,15 @@ def _typed(r: dict | None, ok: bool) -> tuple:
     v = r.get("verified_purchase")
     votes = integer(r.get("helpful_vote"))
     return (
-        _as_text(r["user_id"]).strip() if _as_text(r["user_id"]) else None,
-        _as_text(r["parent_asin"]).strip() if _as_text(r["parent_asin"]) else None,
+        (_as_text(r.get("user_id")) or "").strip() or None,
+        (_as_text(r.get("parent_asin")) or "").strip() or None,
         (_as_text(r.get("asin")) or "").strip() or None,
-        whole_rating(r["rating"]),
+        whole_rating(r.get("rating")),
         _as_text(r.get("title")),
         _as_text(r.get("text")),
         votes,
         v if isinstance(v, bool) else None,
-        len(r.get("images") or []),
+        len(images) if type(images := r.get("images")) is list else 0,
     )
 
 
@@ -267,6 +302,7 @@ def parse(df: DataFrame, typed: bool = False, payload: str = "payload") -> DataF
     Columns of ``df`` named like an output column are dropped in favour of it.
     """
     made = list(_VERDICT) + (list(_TYPED) if typed else [])
+    ship(df.sparkSession)
     names = {f.name for f in made}
     keep = [c for c in df.columns if c != payload and c not in names]
     inner = "_payload"
@@ -295,8 +331,30 @@ def parse(df: DataFrame, typed: bool = False, payload: str = "payload") -> DataF
 _DDL = {pa.string(): "string", pa.int32(): "int", pa.int64(): "bigint", pa.bool_(): "boolean"}
 
 
+def _union(sources: tuple[DataFrame, ...]) -> DataFrame:
+    """(delivery_id, kafka_partition, kafka_offset, ms, payload) of several tables; a table without delivery_id has a null one."""
+    rows = None
+    for s in sources:
+        own = F.col("delivery_id") if "delivery_id" in s.columns else F.lit(None)
+        ms = F.unix_millis(F.col("ingested_at").cast("timestamp"))
+        part = s.select(own.cast("bigint").alias("delivery_id"), "kafka_partition", "kafka_offset", ms.alias("ms"), "payload")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+def _messages(parsed: DataFrame) -> DataFrame:
+    """Failing messages of parsed deliveries: (kafka_partition, kafka_offset, reject_reason, fault)."""
+    late = F.when(F.col("ts_ms").isNotNull() & (F.col("ts_ms") > F.col("arrived_ms")), "timestamp_out_of_range")
+    messages = parsed.groupBy("kafka_partition", "kafka_offset").agg(
+        F.min("reason").alias("reason"), F.min("fault").alias("fault"), F.max("ts_ms").alias("ts_ms"), F.min("ms").alias("arrived_ms")
+    )
+    return messages.select(
+        "kafka_partition", "kafka_offset", F.coalesce("reason", late).alias("reject_reason"), F.coalesce("fault", F.lit("timestamp")).alias("fault")
+    ).where("reject_reason is not null")
+
+
 def failing(*sources: DataFrame) -> DataFrame:
-    """Failing messages of several tables, once each: partition, offset, reason, located fault.
+    """Failing messages of several tables, once each: partition, offset, reason, first fault.
 
     Deliveries of one message are judged against its earliest arrival.  Should
     deliveries differ in payload, the first reason in alphabetical order of
@@ -305,35 +363,63 @@ def failing(*sources: DataFrame) -> DataFrame:
     offset), nulls included, are one message.  A message without any arrival
     isn't judged against it.
     """
-    late = F.when(F.col("ts_ms").isNotNull() & (F.col("ts_ms") > F.col("arrived_ms")), "timestamp_out_of_range")
-    cols = ["kafka_partition", "kafka_offset", "payload", F.unix_millis(F.col("ingested_at").cast("timestamp")).alias("ms")]
-    rows = sources[0].select(*cols)
-    for s in sources[1:]:
-        rows = rows.unionByName(s.select(*cols))
-    messages = parse(rows).groupBy("kafka_partition", "kafka_offset").agg(
-        F.min("reason").alias("reason"), F.min("fault").alias("fault"), F.max("ts_ms").alias("ts_ms"), F.min("ms").alias("arrived_ms")
-    )
-    reason = F.coalesce("reason", late)
-    return messages.select(
-        "kafka_partition", "kafka_offset", reason.alias("reject_reason"), F.coalesce("fault", F.lit("timestamp")).alias("fault")
-    ).where("reject_reason is not null")
+    return _messages(parse(_union(sources).drop("delivery_id")))
 
 
 def load(*sources: DataFrame) -> DataFrame:
     """Rows of several tables whose messages do not fail, as typed records, one per delivery.
 
-    What fails is decided by ``failing`` over the same tables, so every message
-    is either there or here, those without an arrival too.  Rows of a table
-    without ``delivery_id`` have a null one.
+    Payloads are parsed once; what ``failing`` says of the messages decides, so
+    every delivery is either there or here, those without an arrival too.
     """
-    cols = ["kafka_partition", "kafka_offset", "payload", "ingested_at"]
-    rows = None
-    for s in sources:
-        own = F.col("delivery_id") if "delivery_id" in s.columns else F.lit(None)
-        part = s.select(own.cast("bigint").alias("delivery_id"), *cols[:3])
-        rows = part if rows is None else rows.unionByName(part)
-    bad = failing(*(s.select(*cols) for s in sources)).select(F.col("kafka_partition").alias("_p"), F.col("kafka_offset").alias("_o"))
+    rows = _union(sources)
+    shared_dir(rows.sparkSession)
+    parsed = parse(rows, typed=True).checkpoint()
+    bad = _messages(parsed).select(F.col("kafka_partition").alias("_p"), F.col("kafka_offset").alias("_o"))
     same = F.col("kafka_partition").eqNullSafe(F.col("_p")) & F.col("kafka_offset").eqNullSafe(F.col("_o"))
-    return parse(rows, typed=True).where("reason is null").join(bad, same, "left_anti").select(
+    return parsed.where("reason is null").join(bad, same, "left_anti").select(
         "delivery_id", "kafka_partition", "kafka_offset", F.timestamp_millis("ts_ms").cast("timestamp_ntz").alias("event_ts"), *_TYPED.names
     )
+
+
+def _each(df: DataFrame, schema: str, rows) -> DataFrame:
+    """Map every payload of (kafka_partition, kafka_offset, payload) to any number of rows behind its position."""
+    ship(df.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    whole = f"kafka_partition {kinds['kafka_partition']}, kafka_offset {kinds['kafka_offset']}, {schema}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [rows(p) for p in b.column(2).to_pylist()]
+            src = pa.array([i for i, m in enumerate(made) for _ in m], pa.int64())
+            cols = list(zip(*(r for m in made for r in m))) or [()] * len(out)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(src), b.column(1).take(src), *(pa.array(list(c), t) for c, (_, t) in zip(cols, out))], ["kafka_partition", "kafka_offset", *(n for n, _ in out)])
+
+    by_name = {v: k for k, v in _DDL.items()}
+    out = [(n, by_name[t]) for n, t in (x.split() for x in schema.split(", "))]
+    return df.select("kafka_partition", "kafka_offset", "payload").mapInArrow(run, whole)
+
+
+def faults(*sources: DataFrame) -> DataFrame:
+    """Every located fault of every message: (kafka_partition, kafka_offset, fault_no, at, expected).
+
+    ``at`` counts characters from 0 and is null where the text is sound JSON and
+    a member breaks a rule, which ``expected`` then names.  Deliveries of one
+    message with equal faults count once.  The timestamp isn't compared with
+    the arrival here.
+    """
+    told = lambda p: [(k, at, what) for k, (at, what) in enumerate(located(p)[0], 1)]
+    return _each(_union(sources), "fault_no int, at int, expected string", told).distinct()
+
+
+def recovered(*sources: DataFrame) -> DataFrame:
+    """Typed records found beside the faults of broken payloads: (kafka_partition, kafka_offset, record_no, reason, ts_ms, fields).
+
+    ``reason`` judges the record by itself.  Records of equal deliveries count once.
+    """
+
+    def told(p: str | None) -> list[tuple]:
+        return [(k, *_checked(r)[:2], *_typed(r, True)) for k, r in enumerate(located(p)[1], 1)]
+
+    fields = ", ".join(f"{f.name} {_DDL[f.type]}" for f in _TYPED)
+    return _each(_union(sources), f"record_no int, reason string, ts_ms bigint, {fields}", told).distinct()

@@ -21,10 +21,9 @@ def _p4(f):
     )
 
 
-def _p5_found(s, d):
+def _p5(f):
     cols = ["kafka_partition", "kafka_offset", "payload", "ingested_at"]
-    both = [table(s, d, t).select(*cols) for t in ("bronze_reviews", "silver_rejects")]
-    return records.failing(*both).drop("fault")
+    return lambda s, d: f(table(s, d, "bronze_reviews").select("delivery_id", *cols), table(s, d, "silver_rejects").select(*cols))
 
 
 def _p7(f):
@@ -44,8 +43,10 @@ QUERIES = {
     "p3_rolling": _p3(_p3_rolling),
     "p4_found": _p4(late.past_cutoff),
     "p4_month_versions": _p4(late.monthly_versions),
-    "p5_found": _p5_found,
-    "p5_loaded": lambda s, d: records.load(table(s, d, "bronze_reviews"), table(s, d, "silver_rejects")),
+    "p5_found": _p5(lambda *both: records.failing(*both).drop("fault")),
+    "p5_loaded": _p5(records.load),
+    "p5_faults": _p5(records.faults),
+    "p5_recovered": _p5(records.recovered),
     "p6_found": lambda s, d: heavy.heavy_keys(table(s, d, "bronze_reviews"), "kafka_key").select(F.col("key").alias("parent_asin")),
     "p6_product_profile": lambda s, d: heavy.product_profile(table(s, d, "silver_reviews")).withColumn("mean_rating", F.round("mean_rating", 9)),
     "p7_found": _p7(arrivals.to_drop),
@@ -81,6 +82,29 @@ arrived as (
          f.arrival >= date_trunc('month', s.event_ts) + interval 1 month + interval 30 days as past
   from silver_reviews s join first f using (kafka_partition, kafka_offset))"""
 
+_OUTER = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+_JUDGED = """m as (
+  select kafka_partition, kafka_offset, min(payload) payload, min(ingested_at) arrived
+  from (select kafka_partition, kafka_offset, payload, ingested_at from bronze_reviews
+        union all select kafka_partition, kafka_offset, payload, ingested_at from silver_rejects)
+  group by 1, 2),
+j as (select *, case when json_valid(payload) then payload::json end as j from m),
+f as (
+  select *, j->>'$.user_id' u, j->>'$.parent_asin' p, j->>'$.timestamp' t, try_cast(trim(j->>'$.rating') as double) r,
+         j->'$.images' im
+  from j),
+v as (
+  select kafka_partition, kafka_offset,
+    case when j is null or json_type(j) <> 'OBJECT' then 'unparsable_json'
+         when not (im is null or json_type(im) = 'NULL'
+                   or (json_type(im) = 'ARRAY' and len(list_filter(json_extract(im, '$[*]'), lambda x: json_type(x) <> 'OBJECT')) = 0))
+         then 'unparsable_json'
+         when coalesce(trim(u), '') = '' or coalesce(trim(p), '') = '' or coalesce(trim(t), '') = '' then 'missing_key_field'
+         when r is null or not (r between 1 and 5 and r = floor(r)) then 'invalid_rating'
+         when not regexp_full_match(t, '-?[0-9]+') or try_cast(t as hugeint) is null or t::hugeint < 788918400000
+              or t::hugeint > epoch_ms(arrived) then 'timestamp_out_of_range' end as reject_reason
+  from f)"""
+
 ORACLE = {
     "p3_found": f"""with {_FACTS}
 select parent_asin, month from spans
@@ -110,28 +134,16 @@ net as (
          count(*) filter (where diff < 0) retractions from d group by 1, 2)
 select *, (sum(reviews_delta) over w)::bigint reviews, (sum(rating_delta) over w)::bigint rating_sum
 from net window w as (partition by event_month order by version)""",
-    "p5_found": """with m as (
-  select kafka_partition, kafka_offset, min(payload) payload, min(ingested_at) arrived
-  from (select kafka_partition, kafka_offset, payload, ingested_at from bronze_reviews
-        union all select kafka_partition, kafka_offset, payload, ingested_at from silver_rejects)
-  group by 1, 2),
-j as (select *, case when json_valid(payload) then payload::json end as j from m),
-f as (
-  select *, j->>'$.user_id' u, j->>'$.parent_asin' p, j->>'$.timestamp' t, try_cast(trim(j->>'$.rating') as double) r,
-         j->'$.images' im
-  from j),
-v as (
-  select kafka_partition, kafka_offset,
-    case when j is null or json_type(j) <> 'OBJECT' then 'unparsable_json'
-         when not (im is null or json_type(im) = 'NULL'
-                   or (json_type(im) = 'ARRAY' and len(list_filter(json_extract(im, '$[*]'), lambda x: json_type(x) <> 'OBJECT')) = 0))
-         then 'unparsable_json'
-         when coalesce(trim(u), '') = '' or coalesce(trim(p), '') = '' or coalesce(trim(t), '') = '' then 'missing_key_field'
-         when r is null or not (r between 1 and 5 and r = floor(r)) then 'invalid_rating'
-         when not regexp_full_match(t, '-?[0-9]+') or try_cast(t as hugeint) is null or t::hugeint < 788918400000
-              or t::hugeint > epoch_ms(arrived) then 'timestamp_out_of_range' end as reject_reason
-  from f)
-select * from v where reject_reason is not null""",
+    "p5_found": f"with {_JUDGED} select * from v where reject_reason is not null",
+    "p5_loaded": f"""with {_JUDGED},
+t as (select kafka_partition, kafka_offset, j from f semi join (select * from v where reject_reason is null) ok using (kafka_partition, kafka_offset)),
+d as (select delivery_id, kafka_partition, kafka_offset from bronze_reviews union all select null, kafka_partition, kafka_offset from silver_rejects)
+select delivery_id, kafka_partition, kafka_offset, make_timestamp((j->>'$.timestamp')::bigint * 1000) event_ts,
+  {_OUTER("j->>'$.user_id'")} user_id, {_OUTER("j->>'$.parent_asin'")} parent_asin, nullif({_OUTER("j->>'$.asin'")}, '') asin,
+  try_cast(trim(j->>'$.rating') as double)::int rating, j->>'$.title' title, j->>'$.text' as text, try_cast(j->>'$.helpful_vote' as bigint) helpful_vote,
+  case when json_type(j->'$.verified_purchase') = 'BOOLEAN' then (j->>'$.verified_purchase')::boolean end verified_purchase,
+  coalesce(json_array_length(j->'$.images'), 0)::int image_count
+from d join t using (kafka_partition, kafka_offset)""",
     "p6_found": """select parent_asin from (
   select nullif(upper(regexp_replace(kafka_key, '^\\s+|\\s+$', '', 'g')), '') parent_asin, count(*) n from bronze_reviews group by 1)
 where parent_asin is not null and n * 100 >= (select count(*) from bronze_reviews)""",
