@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import neighbours as N
 
@@ -64,12 +65,29 @@ def exact(x, k):
     return np.argsort(-s, axis=1)[:, :k]
 
 
-def test_recall_over_many_lists(spark, monkeypatch):
-    monkeypatch.setattr(N, "LIST", 120)
+@pytest.mark.parametrize("shape", [N.Shape(size=120), N.Shape(size=60, fan=10, group=500), N.Shape(size=40, fan=4, group=200)])
+def test_recall_over_many_lists_and_divisions(spark, shape):
     x = clustered(3000, 24, 40)
-    got = found(frame(spark, [(str(k), v, "s", 0) for k, v in enumerate(x)]), 5, 24)
+    got = found(frame(spark, [(str(k), v, "s", 0) for k, v in enumerate(x)] + [(str(k), v, "t", 0) for k, v in enumerate(x[:7])]), 5, 24, shape=shape)
     truth = exact(x, 5)
     assert sum(("s", str(a), str(b)) in got for a in range(len(x)) for b in truth[a]) / (5 * len(x)) >= 0.9
+    few = exact(x[:7], 5)
+    assert {(i, n) for s, i, n in got if s == "t"} == {(str(a), str(b)) for a in range(7) for b in few[a]}
+
+
+def test_lists_stay_bounded(spark):
+    rows = frame(spark, [(str(k), v, "s", 0) for k, v in enumerate(clustered(3000, 24, 40))])
+    shape = N.Shape(size=60, fan=10, group=500)
+    v = rows.select(F.col("spec"), F.lit(True).alias("wanted"), F.col("vec").alias("vector"))
+    marked = N._marked(rows.select("spec", "id", "ts", F.lit(True).alias("wanted"), F.col("vec").alias("vector")), 24, 1.0).checkpoint()
+    sizes = spark.createDataFrame([("s", "", 3000)], "spec string, cell string, n bigint")
+    lists = [r["count"] for r in N._postings(N._vectors(v, 24), marked, sizes, 24, shape).groupBy("cell").count().collect()]
+    assert len(lists) >= 40 and max(lists) <= 6 * 60
+
+
+def test_more_specifications_than_the_former_bound(spark):
+    rows = [(f"{s}-{k}", [1.0, k + s / 2000], f"s{s}", 0) for s in range(1001) for k in range(2)]
+    assert len(found(frame(spark, rows), 1, 2)) == 2002
 
 
 def test_graph_finds_the_nearest_centroids():

@@ -1,17 +1,20 @@
 """The k most similar vectors of every vector (problem 2).
 
-Posting lists around centroids.  Centroids are fitted on a bounded sample by
-spherical k-means and kept balanced: a list that drew more than ``SLACK`` times
-its share is split.  A nearest-neighbour graph over the centroids, held in the
-memory of each worker, is searched by beams from a few pivots.  A vector enters
-the lists whose centroids lie within ``(1 + RATIO)`` of its smallest distance,
-``REPLICAS`` at most, so vectors near a border are replicated, and it searches
-the same lists.  The top k of its lists merge into its result.
-
-Lists hold about ``LIST`` vectors whatever the size of the table, so the work
-grows with the number of vectors; a list that grew beyond ``BLOCK`` (the number
-of centroids is limited by the sample) is divided again by the same means
-inside its task.
+Posting lists around centroids.  Centroids are fitted on samples by spherical
+k-means and kept balanced: a list that drew more than ``SLACK`` times its share
+is split.  A nearest-neighbour graph over the centroids, held in memory, is
+searched by beams from a few pivots.  A vector enters the lists whose centroids
+lie within ``(1 + RATIO)`` of its smallest distance, ``REPLICAS`` at most, so
+vectors near a border are replicated, and it searches the same lists.  The top
+k of its lists merge into its result.
+
+Lists hold about ``LIST`` vectors at any size.  A specification of more than
+``FAN`` lists is first divided, by the same means, into cells of about ``FAN``
+lists, and each cell has its own centroids, fitted on its own sample where the
+executors hold it.  Vectors are routed in groups of about ``GROUP`` of one cell
+that meet the centroids of that cell only, so neither centroids nor vectors of
+all cells are ever in one place.  A list that still grew beyond ``BLOCK`` is
+divided again inside its task.
 
 Copies of one vector are one entry of the index.  Of its holders only the
 k + 1 of lowest id can be anyone's neighbours, ties being broken by id, and
@@ -34,18 +37,39 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import scratch, shared_dir, ship
 
 #: Vectors of a list, lists that hold a vector at most, and how much farther than the nearest centroid theirs may be.
 LIST, REPLICAS, RATIO = 1000, 4, 0.12
-#: Vectors the centroids are fitted on: per list, and at most.
-PER_LIST, SAMPLE = 48, 50_000
+#: Lists of a cell, vectors routed at once, and vectors that centroids are fitted on: for each, and for a cell at most.
+FAN, GROUP, PER_LIST, SAMPLE = 256, 16_384, 48, 50_000
 #: A list is split when it drew more than this times its share of the sample.
 SLACK = 2.0
 #: Vectors compared at once inside a list, and the size from which a list is divided again.
 ROWS, BLOCK = 1024, 12_000
-#: Links of a centroid each way, beam width, pivots at least, and specifications at most.
-DEGREE, BEAM, PIVOTS, SPECS = 16, 16, 64, 1000
+#: Links of a centroid each way, beam width, and pivots at least.
+DEGREE, BEAM, PIVOTS = 16, 16, 64
+#: Rows of a table of cells up to which it is broadcast.
+FEW = 100_000
+
+
+@dataclass(frozen=True)
+class Shape:
+    """Sizes that decide how an index divides."""
+
+    size: int = LIST
+    fan: int = FAN
+    group: int = GROUP
+
+    @property
+    def cell(self) -> int:
+        """Vectors of a cell that is divided into lists next."""
+        return self.fan * self.size
+
+    @property
+    def share(self) -> float:
+        """Part of the vectors that samples are drawn from."""
+        return min(1.0, max(PER_LIST / self.size, 0.01))
 
 
 def unit_rows(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,21 +254,27 @@ def _keys(x: np.ndarray) -> list[bytes]:
     return [xxhash.xxh3_128_digest(r) for r in x]
 
 
-def _holders(df: DataFrame, dims: int) -> DataFrame:
-    """(spec, id, vkey, wanted, several): one row per id and specification that counts; no vectors.
-
-    ``several`` says that the id has different vectors, of which the others are superseded.
-    """
+def _marked(df: DataFrame, dims: int, share: float) -> DataFrame:
+    """(spec, id, ts, wanted, vkey, vec): rows that count; ``vec`` only of the vectors that a share of the hashes draws."""
+    cut = int(min(1.0, share) * (2**32 - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, x = unit_rows(b.column(4), dims)
-            at = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns[:4]), pa.array(_keys(x), pa.binary())], ["spec", "id", "ts", "wanted", "vkey"])
+            at, keys = pa.array(rows), _keys(x)
+            vec = [v.tobytes() if int.from_bytes(k[:4], "big") <= cut else None for k, v in zip(keys, x)]
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns[:4]), pa.array(keys, pa.binary()), pa.array(vec, pa.binary())], ["spec", "id", "ts", "wanted", "vkey", "vec"])
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    made = df.select("spec", "id", "ts", "wanted", "vector").mapInArrow(run, f"spec string, id string, ts {kinds['ts']}, wanted boolean, vkey binary")
-    return made.groupBy("spec", "id").agg(F.max(F.struct("ts", "vkey", "wanted")).alias("m"), (F.min("vkey") != F.max("vkey")).alias("several")).select("spec", "id", "m.vkey", "m.wanted", "several")
+    return df.select("spec", "id", "ts", "wanted", "vector").mapInArrow(run, f"spec string, id string, ts {kinds['ts']}, wanted boolean, vkey binary, vec binary")
+
+
+def _holders(marked: DataFrame) -> DataFrame:
+    """(spec, id, vkey, wanted, several): one row per id and specification that counts.
+
+    ``several`` says that the id has different vectors, of which the others are superseded.
+    """
+    return marked.groupBy("spec", "id").agg(F.max(F.struct("ts", "vkey", "wanted")).alias("m"), (F.min("vkey") != F.max("vkey")).alias("several")).select("spec", "id", "m.vkey", "m.wanted", "several")
 
 
 def _vectors(df: DataFrame, dims: int) -> DataFrame:
@@ -276,52 +306,81 @@ def _vectors(df: DataFrame, dims: int) -> DataFrame:
     return df.select("spec", "wanted", "vector").mapInArrow(run, "spec string, vkey binary, vec binary, wanted boolean")
 
 
-def fit(df: DataFrame, sizes: dict[str, int], dims: int) -> dict[str, Graph]:
-    """A centroid graph per specification, from a sample that the hash of the id draws."""
-    total = max(1, sum(sizes.values()))
-    lists = max(1, min(total // LIST, SAMPLE // PER_LIST))
-    need = min(total, max(2000, lists * PER_LIST, min(SAMPLE, 20 * len(sizes))))
-    cut = int((need / total) * 2**32)
-    drawn = df.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(2**32)) <= cut).select("spec", "vector").limit(SAMPLE).toArrow()
-    rows, x = unit_rows(drawn.column(1), dims)
-    spec = np.array(drawn.column(0).to_pylist(), object)[rows]
-    graphs = {}
-    for name, n in sizes.items():
-        own = np.unique(x[spec == name], axis=0)
-        if not len(own):
-            own = np.eye(1, dims, dtype=np.float32)
-        graphs[name] = Graph.over(balanced(own, max(1, round(n / total * lists))))
-    return graphs
+def _fitted(sample: DataFrame, sizes: DataFrame, dims: int, shape: Shape, last: bool) -> DataFrame:
+    """(spec, cell, centroids, groups): balanced centroids of every cell, from its sample; one bounded group a task.
 
+    ``sample`` is (spec, cell, vec), a ``shape.share`` of the vectors; ``sizes``
+    is (spec, cell, n).  A cell is divided into lists where that is the
+    ``last`` division, else into cells.
+    """
+    part = shape.size if last else shape.cell
 
-def _postings(vectors: DataFrame, graphs, dims: int) -> DataFrame:
-    """(spec, list, vkey, vec, wanted) of every list that holds a vector; each vector once a list."""
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(v for v in t.column("vec").to_pylist() if v is not None), np.float32).reshape(-1, dims)
+        n = t.column("n")[0].as_py()
+        c = balanced(np.unique(x, axis=0), n // part if last else -(-n // part)) if len(x) else np.zeros((1, dims), np.float32)
+        return pa.table({"spec": [key[0].as_py()], "cell": [key[1].as_py()], "centroids": pa.array([c.tobytes()], pa.binary()), "groups": pa.array([-(-n // shape.group)], pa.int32())})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set = set()
-        for b in batches:
-            specs, keys, asked = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()
-            # rows of one vector lie in one task; an asked row must not be lost behind one that isn't
-            keep = []
-            for i, mark in enumerate(zip(specs, keys, asked)):
-                if mark not in seen:
-                    seen.add(mark)
-                    keep.append(i)
-            if not keep:
-                continue
-            x = np.frombuffer(b"".join(b.column(2).take(pa.array(keep)).to_pylist()), np.float32).reshape(len(keep), dims)
-            own = np.array([specs[i] for i in keep], object)
-            for name in set(own.tolist()):
-                sel = np.flatnonzero(own == name)
-                for s in range(0, len(sel), 1024):
-                    part = sel[s : s + 1024]
-                    row, at = graphs.value[name].lists(x[part])
-                    src = pa.array([keep[i] for i in part[row]], pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(src), pa.array(at, pa.int32()), b.column(1).take(src), b.column(2).take(src), b.column(3).take(src)], ["spec", "list", "vkey", "vec", "wanted"]
-                    )
-
-    return vectors.repartition("spec", "vkey").mapInArrow(run, "spec string, list int, vkey binary, vec binary, wanted boolean")
+    # a cell of which nothing was drawn comes with a null vector and has one list
+    held = sizes.join(sample, ["spec", "cell"], "left")
+    want = F.least(F.lit(float(SAMPLE)), F.greatest(F.lit(2000.0), F.col("n") / F.lit(part) * F.lit(float(PER_LIST))))
+    drawn = F.pmod(F.xxhash64("vec", F.lit(5)), F.lit(1_000_000)) < want / (F.col("n") * F.lit(shape.share)) * F.lit(1_000_000)
+    held = held.select("spec", "cell", "n", F.when(drawn, F.col("vec")).alias("vec"))
+    return held.groupBy("spec", "cell").applyInArrow(run, "spec string, cell string, centroids binary, groups int")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """Broadcast a small table of cells after counting its rows; leave a large one to Spark."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
+def _routed(vectors: DataFrame, models: DataFrame, sizes: DataFrame, dims: int, shape: Shape) -> DataFrame:
+    """(spec, cell, vkey, vec, wanted) one division further down: each vector once in every list or cell that holds it."""
+    groups = F.ceil(F.col("n") / F.lit(shape.group)).cast("int")
+    grouped = vectors.join(_few(sizes.select("spec", "cell", groups.alias("groups"))), ["spec", "cell"]).select(
+        "spec", "cell", F.pmod(F.xxhash64("vkey"), F.col("groups")).cast("int").alias("part"), "vkey", "vec", "wanted"
+    )
+    copies = models.select("spec", "cell", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), "centroids")
+
+    def run(key: tuple, t: pa.Table, model: pa.Table) -> pa.Table:
+        names = ["spec", "cell", "vkey", "vec", "wanted"]
+        kinds = [pa.string(), pa.string(), pa.binary(), pa.binary(), pa.bool_()]
+        if not t.num_rows:
+            return pa.table({n: pa.array([], k) for n, k in zip(names, kinds)})
+        # copies of a vector lie in one group; an asked row must not be lost behind one that isn't
+        keep = list(dict(zip(zip(t.column("vkey").to_pylist(), t.column("wanted").to_pylist()), range(t.num_rows))).values())
+        t = t.take(pa.array(keep))
+        vec = t.column("vec").to_pylist()
+        graph = Graph.over(np.frombuffer(model.column("centroids")[0].as_py(), np.float32).reshape(-1, dims))
+        rows, at = [], []
+        for i in range(0, len(vec), 1024):
+            r, k = graph.lists(np.frombuffer(b"".join(vec[i : i + 1024]), np.float32).reshape(-1, dims))
+            rows.append(r + i)
+            at.append(k)
+        src = pa.array(np.concatenate(rows))
+        cells = [f"{key[1].as_py()}/{k}" for k in np.concatenate(at).tolist()]
+        return pa.table([t.column("spec").take(src), pa.array(cells), *(t.column(c).take(src) for c in names[2:])], names)
+
+    both = grouped.groupBy("spec", "cell", "part").cogroup(copies.groupBy("spec", "cell", "part"))
+    return both.applyInArrow(run, "spec string, cell string, vkey binary, vec binary, wanted boolean")
+
+
+def _postings(vectors: DataFrame, marked: DataFrame, sizes: DataFrame, dims: int, shape: Shape) -> DataFrame:
+    """(spec, cell, vkey, vec, wanted): the entries of all lists, after as many divisions as the largest specification needs."""
+    spark = vectors.sparkSession
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    rows, sample = vectors.withColumn("cell", F.lit("")), marked.where("vec is not null").select("spec", F.lit("").alias("cell"), "vec")
+    coarse = largest > shape.cell
+    while coarse:
+        path = scratch(spark, "cells")
+        _routed(rows, _fitted(sample, sizes, dims, shape, False), sizes, dims, shape).write.parquet(path)
+        rows = spark.read.parquet(path)
+        sizes = rows.groupBy("spec", "cell").agg(F.count(F.lit(1)).alias("n")).checkpoint()
+        sample = rows.where(F.pmod(F.xxhash64("vkey", F.lit(3)), F.lit(1_000_000)) < int(shape.share * 1_000_000)).select("spec", "cell", "vec")
+        before, largest = largest, sizes.agg(F.max("n")).first()[0]
+        # borders are replicated, so cells exceed their plan; one that can't be divided further is left to its lists
+        coarse = 4 * shape.cell < largest < 0.9 * before
+    return _routed(rows, _fitted(sample, sizes, dims, shape, True), sizes, dims, shape)
 
 
 def _scan(postings: DataFrame, k: int, dims: int) -> DataFrame:
@@ -342,16 +401,20 @@ def _scan(postings: DataFrame, k: int, dims: int) -> DataFrame:
             {"spec": pa.array([key[0].as_py()] * len(row), pa.string()), "vkey": pa.array(keys[row].tolist(), pa.binary()), "nkey": pa.array(keys[near].tolist(), pa.binary()), "cosine": pa.array(cosine, pa.float64())}
         )
 
-    return postings.groupBy("spec", "list").applyInArrow(run, "spec string, vkey binary, nkey binary, cosine double")
+    return postings.groupBy("spec", "cell").applyInArrow(run, "spec string, vkey binary, nkey binary, cosine double")
 
 
-def neighbours(df: DataFrame, k: int, id_col: str, vector_col: str, dims: int, spec_col: str | None = None, ts_col: str | None = None, queries: str | None = None) -> DataFrame:
+def neighbours(
+    df: DataFrame, k: int, id_col: str, vector_col: str, dims: int, spec_col: str | None = None, ts_col: str | None = None, queries: str | None = None, shape: Shape = Shape()
+) -> DataFrame:
     """(spec, id, neighbour, cosine, rank) of the k nearest of every id, or of those where ``queries`` holds.
 
-    Only vectors of one specification compare.  Equal cosines rank by id.
+    Only vectors of one specification compare, however many there are.  Equal
+    cosines rank by id.
     """
     spark = df.sparkSession
     shared_dir(spark)
+    ship(spark)
     rows = df.select(
         (F.coalesce(F.col(spec_col), F.lit("")) if spec_col else F.lit("")).alias("spec"),
         F.col(id_col).cast("string").alias("id"),
@@ -359,15 +422,14 @@ def neighbours(df: DataFrame, k: int, id_col: str, vector_col: str, dims: int, s
         (F.coalesce(F.expr(queries), F.lit(False)) if queries else F.lit(True)).alias("wanted"),
         F.col(vector_col).alias("vector"),
     ).where("id is not null")
-    holders = _holders(rows, dims).checkpoint()
-    sizes = {r.spec: r["count"] for r in holders.groupBy("spec").count().limit(SPECS + 1).collect()}
-    if len(sizes) > SPECS:
-        raise ValueError(f"more than {SPECS} specifications")
-    graphs = spark.sparkContext.broadcast(fit(rows, sizes, dims) if sizes else {})
+    total = max(1, df.count())
+    marked = _marked(rows, dims, max(shape.share, 2000 / total)).checkpoint()
+    holders = _holders(marked.drop("vec")).checkpoint()
+    sizes = holders.groupBy("spec").agg(F.count(F.lit(1)).alias("n")).select("spec", F.lit("").alias("cell"), "n").checkpoint()
     vectors = _vectors(rows, dims)
     if holders.where("several").limit(1).count():  # superseded vectors would take places of the k nearest
         vectors = vectors.join(holders.select("spec", "vkey").distinct(), ["spec", "vkey"], "left_semi")
-    scanned = _scan(_postings(vectors, graphs, dims), k, dims)
+    scanned = _scan(_postings(vectors, marked, sizes, dims, shape), k, dims)
     # at most REPLICAS lists reported each vector, so these arrays are bounded
     near = (
         scanned.groupBy("spec", "vkey", "nkey")
