@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import canonical
+from ..functions import analyzers, canonical
 from ..functions.keys import month_ix
 from ..operators import matching, retrieval, terms
 from ..sources.tables import table
@@ -88,10 +88,8 @@ def _queries(s, d):
 
 
 def _bm25(s, d, k=10):
-    docs = table(s, d, "documents").select("doc_id", "text", "source")
-    asked = retrieval.query_terms(_queries(s, d))
-    legs = retrieval.bm25(retrieval.postings(docs, F.col("text")), asked, 2.0), retrieval.bm25(retrieval.postings(docs, F.translate("source", "_", " ")), asked)
-    return retrieval.ranked(retrieval.best_field(*legs).withColumn("score", F.round("score", 9)), k)
+    docs = table(s, d, "documents").select("doc_id", canonical.tokens(F.col("text")).alias("text"), canonical.tokens(F.translate("source", "_", " ")).alias("source"))
+    return retrieval.bm25(docs, {"text": 2.0, "source": 1.0}, retrieval.query_terms(_queries(s, d)), k).withColumn("score", F.round("score", 9))
 
 
 def _vector_queries(s, d):
@@ -104,84 +102,116 @@ def _knn(s, d, k=10, label=None):
     return retrieval.cosine_knn(v.drop("label"), _vector_queries(s, d), k)
 
 
-def _label_leg(s, d):
-    """A second leg: vectors of the query's label, by id distance; stands for a metadata leg."""
-    e = table(s, d, "embeddings").select("vec_id", "label")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "label")
-    near = q.join(e, "label").where("q <> vec_id").select(F.col("q").cast("string").alias("query_id"), "vec_id", (-F.abs(F.col("q") - F.col("vec_id"))).cast("double").alias("score"))
-    return retrieval.ranked(near, 50, "vec_id")
-
-
-def _hybrid(s, d):
-    f = retrieval.fuse({"knn": _knn(s, d, 50), "label": _label_leg(s, d)}, identifier="vec_id")
-    return f.where("rank <= 20").withColumn("score", F.round("score", 9))
+def _first_copies(s, d):
+    """One row per review: its first copy by position."""
+    cols = ["kafka_partition", "kafka_offset", "parent_asin", "rating", "verified_purchase", "event_ts", "title", "text"]
+    r = table(s, d, "silver_reviews").groupBy("review_id").agg(F.min(F.struct(*cols)).alias("m")).select("review_id", "m.*")
+    return r.withColumn("ix", month_ix(F.col("event_ts")))
 
 
 def _embedded(s, d):
-    """(review_id, v): the latest vector of each review in the specification that most reviews have."""
-    e = table(s, d, "review_embeddings").where("review_id is not null and size(vector) > 0").withColumn("spec", F.coalesce("embedding_spec_hash", F.lit("")))
+    """(review_id, v): the latest usable vector of each review in the specification that most reviews have."""
+    size = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    usable = (F.size("vector") == 384) & (size > 0) & ~F.isnan(size)
+    e = table(s, d, "review_embeddings").where("review_id is not null").where(usable).withColumn("spec", F.coalesce("embedding_spec_hash", F.lit("")))
     most = e.groupBy("spec").agg(F.count_distinct("review_id").alias("n")).orderBy(F.desc("n"), "spec").limit(1).select("spec")
     latest = F.max(F.struct("embedded_at", "vector")).alias("m")
     return e.join(F.broadcast(most), "spec").groupBy("review_id").agg(latest).select("review_id", F.col("m.vector").alias("v"))
 
 
-def _review_legs(s, d, k=50):
-    """BM25 over title and text of all reviews, and kNN over their vectors, for embedded reviews whose first offset divides by 200.
-
-    A query asks with the title and the vector of its review, which is not among its own hits.
-    """
-    r = table(s, d, "silver_reviews").groupBy("review_id").agg(F.min(F.struct("kafka_partition", "kafka_offset", "title", "text")).alias("m")).select("review_id", "m.*")
-    v = _embedded(s, d)
-    asked = r.where("kafka_offset % 200 = 0").join(v, "review_id").select(F.col("review_id").alias("query_id"), F.col("title").alias("text"), F.col("v").alias("q"))
-    posted = retrieval.postings(r, F.concat_ws(" ", "title", "text"), "review_id")
-    hits = retrieval.bm25(posted, retrieval.query_terms(asked), identifier="review_id").where("query_id <> review_id")
-    bm25 = retrieval.ranked(hits.withColumn("score", F.round("score", 9)), k, "review_id")
-    knn = retrieval.cosine_knn(v, asked.select("query_id", "q"), k, "review_id")
-    return {"bm25": bm25, "knn": knn}
-
-
-def _review_hybrid(s, d):
-    f = retrieval.fuse(_review_legs(s, d), identifier="review_id")
-    return f.where("rank <= 20").withColumn("score", F.round("score", 9))
+FIELDS = {"text": 2.0, "title": 1.0}
 
 
-def _review_pool(s, d):
-    return retrieval.pool(_review_legs(s, d), 10, "review_id")
+def _asked(s, d):
+    """Queries: embedded reviews whose first offset divides by 50 ask with their title and their vector."""
+    r = _first_copies(s, d).where("kafka_offset % 50 = 0")
+    return r.join(_embedded(s, d), "review_id").select(F.col("review_id").alias("query_id"), F.col("title").alias("text"), F.col("v").alias("q"), F.col("rating").alias("stratum"), F.col("parent_asin").alias("asked_asin"))
 
 
-def _review_completeness(s, d):
-    """Judged are reviews of the query's product."""
-    r = table(s, d, "silver_reviews").select("review_id", "parent_asin").distinct()
-    p = _review_pool(s, d)
-    q = p.select("query_id").distinct().join(r.withColumnRenamed("review_id", "query_id"), "query_id")
-    return retrieval.completeness(p, q.join(r, "parent_asin").select("query_id", "review_id"), "review_id")
+# Systems by name: analyzer of the text leg, restriction to embedded reviews, and legs.
+SYSTEMS = {
+    "bm25_plain": ("words", False, ("bm25",)),
+    "bm25_stemmed": ("english", False, ("bm25",)),
+    "bm25_cohort": ("words", True, ("bm25",)),
+    "knn": (None, True, ("knn",)),
+    "hybrid": ("words", False, ("bm25", "knn")),
+    "hybrid_cohort": ("words", True, ("bm25", "knn")),
+    "hybrid_stemmed": ("english", False, ("bm25", "knn")),
+}
 
 
-def _review_fusion_recall(s, d):
-    return retrieval.overlap_summary(retrieval.overlap(_review_hybrid(s, d), _review_legs(s, d)["knn"], 10, "review_id"))
+def _system(s, d, name, k=10):
+    """(query_id, review_id, score, rank, ...) of a named system over all reviews; a query doesn't find itself."""
+    analyzer, cohort, legs = SYSTEMS[name]
+    asked, found = _asked(s, d), {}
+    if "bm25" in legs:
+        r = _first_copies(s, d).select("review_id", "title", "text")
+        if analyzer == "words":
+            docs = r.select("review_id", *(canonical.tokens(F.col(f)).alias(f) for f in FIELDS))
+            terms_of = retrieval.query_terms(asked.select("query_id", "text"))
+        else:
+            docs = analyzers.analyzed(r, analyzer, "title", "text")
+            terms_of = retrieval.query_terms(analyzers.analyzed(asked.select("query_id", "text"), analyzer, "text"), words=F.col("text"))
+        if cohort:  # the restriction is a filter on the leg, before any ranking
+            docs = docs.join(_embedded(s, d).select("review_id", F.lit(True).alias("in_cohort")), "review_id", "left")
+        found["bm25"] = retrieval.bm25(docs, FIELDS, terms_of, retrieval.RRF_WINDOW if len(legs) > 1 else k, "review_id", F.col("in_cohort") if cohort else None, False)
+    if "knn" in legs:
+        found["knn"] = retrieval.cosine_knn(_embedded(s, d), asked.select("query_id", "q"), retrieval.RRF_WINDOW if len(legs) > 1 else k, "review_id")
+    if len(found) == 1:
+        return next(iter(found.values()))
+    return retrieval.fuse(found, identifier="review_id").where(F.col("rank") <= k)
+
+
+def _scored(name, k=10):
+    return lambda s, d: _system(s, d, name, k).withColumn("score", F.round("score", 9))
+
+
+def _scoped_hybrid(s, d, k=10):
+    """Both legs over one product and window only, then fusion: (query_id, review_id, score, rank, ...).
+
+    A question per product and window asks for its complaints, and with the
+    vector of the product's first embedded review.
+    """
+    r = _first_copies(s, d).select("review_id", "parent_asin", "ix", *(canonical.tokens(F.col(f)).alias(f) for f in FIELDS))
+    w = _windows(s, d).select(F.concat_ws("|", "parent_asin", "window").alias("query_id"), "parent_asin", "lo", "hi")
+    text = F.lit(" ".join(t for ts in LISTS.values() for t in ts)).alias("text")
+    weighed, mean = retrieval.weights(r, FIELDS, retrieval.query_terms(s.createDataFrame([("all",)], "query_id string").select("query_id", text)))
+    worth = weighed.groupBy().agg(*(F.map_from_entries(F.collect_list(F.when(F.col("field") == f, F.struct("term", "weight")))).alias(f"worth_{f}") for f in FIELDS))
+    inside = r.join(w, "parent_asin").where(F.col("ix").between(F.col("lo"), F.col("hi"))).drop("lo", "hi", "ix")
+    pairs = inside.join(F.broadcast(worth), F.lit(True))  # one row of at most as many terms as were asked
+    bm25 = retrieval.scoped_bm25(pairs, mean, FIELDS).where("score > 0")
+    v = _embedded(s, d)
+    both = inside.select("query_id", "parent_asin", "review_id").join(v, "review_id")
+    first = both.groupBy("parent_asin").agg(F.min_by("v", "review_id").alias("q"))
+    knn = both.join(first, "parent_asin").select("query_id", "review_id", (1 + retrieval.cosine(F.col("v"), F.col("q"))).alias("score"))
+    legs = {n: retrieval.ranked(x.select("query_id", "review_id", "score"), retrieval.RRF_WINDOW, "review_id") for n, x in (("bm25", bm25), ("knn", knn))}
+    return retrieval.fuse(legs, identifier="review_id").where(F.col("rank") <= k).withColumn("score", F.round("score", 9))
 
 
-def _judged(s, d):
-    """Relevant is what shares the query's label."""
-    e = table(s, d, "embeddings").select("vec_id", "label")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), "label")
-    return q.join(e, "label").where("q <> vec_id").select(F.col("q").cast("string").alias("query_id"), "vec_id", F.lit(True).alias("relevant"))
+def _judged(s, d, run):
+    """Ranks with a judgement that no leg is built from: relevant is a review of the query's product; one without
+    known purchase isn't judged."""
+    r = _first_copies(s, d).select("review_id", "parent_asin", "verified_purchase")
+    q = _asked(s, d).select("query_id", "asked_asin")
+    said = F.when(F.col("verified_purchase").isNotNull(), F.col("parent_asin") == F.col("asked_asin"))
+    return run.join(r, "review_id").join(q, "query_id").select("query_id", "review_id", "rank", said.alias("relevant"))
 
 
 def _measures(s, d):
-    return retrieval.measures(_knn(s, d), _judged(s, d), "vec_id")
+    return retrieval.measures(_judged(s, d, _system(s, d, "hybrid")), _asked(s, d).select("query_id", "stratum"))
 
 
 def _pool(s, d):
-    return retrieval.pool({"knn": _knn(s, d), "label": _label_leg(s, d)}, 10, "vec_id")
+    return retrieval.pool({n: _system(s, d, n) for n in ("bm25_plain", "knn", "hybrid")}, 10, "review_id")
 
 
 def _completeness(s, d):
-    return retrieval.completeness(_pool(s, d), _judged(s, d), "vec_id")
+    p = _pool(s, d)
+    return retrieval.completeness(p, _judged(s, d, p.withColumn("rank", F.lit(1))).where("relevant is not null"), "review_id")
 
 
 def _fusion_recall(s, d):
-    return retrieval.overlap_summary(retrieval.overlap(_hybrid(s, d), _knn(s, d), 10, "vec_id"))
+    return retrieval.overlap_summary(retrieval.overlap(_system(s, d, "hybrid"), _system(s, d, "knn"), 10, "review_id"))
 
 
 def _norm_audit(s, d):
@@ -211,16 +241,17 @@ QUERIES = {
     "search_bm25": _bm25,
     "search_knn": lambda s, d: _knn(s, d).withColumn("score", F.round("score", 6)).drop("rank"),
     "search_scoped_knn": lambda s, d: _knn(s, d, 5, 3).withColumn("score", F.round("score", 6)).drop("rank"),
-    "search_hybrid": _hybrid,
+    "search_hybrid": _scored("hybrid", 20),
+    "search_hybrid_cohort": _scored("hybrid_cohort"),
+    "search_bm25_cohort": _scored("bm25_cohort"),
+    "search_bm25_stemmed": _scored("bm25_stemmed"),
+    "search_hybrid_stemmed": _scored("hybrid_stemmed"),
+    "search_scoped_hybrid": _scoped_hybrid,
     "search_pool": _pool,
     "search_completeness": _completeness,
     "search_measures": _measures,
     "search_fusion_recall": _fusion_recall,
     "search_norm_audit": _norm_audit,
-    "search_review_hybrid": _review_hybrid,
-    "search_review_pool": _review_pool,
-    "search_review_completeness": _review_completeness,
-    "search_review_fusion_recall": _review_fusion_recall,
 }
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in terms.STOPWORDS) + "]"
@@ -267,17 +298,31 @@ _BM = lambda field, name, weight: f"""
 KNN = """
 kq as (select vec_id::varchar query_id, embedding q from embeddings where vec_id % 50 = 0),
 ks as (select query_id, vec_id, label, 1 + list_cosine_similarity(embedding::double[], q::double[]) score from embeddings, kq where query_id <> vec_id::varchar)"""
-LEGS = f"""{KNN},
-l1 as (select query_id, vec_id, row_number() over (partition by query_id order by score desc, vec_id) as rank from ks qualify rank <= 50),
-l2 as (select a.vec_id::varchar query_id, b.vec_id, row_number() over (partition by a.vec_id order by abs(a.vec_id - b.vec_id), b.vec_id) as rank
-       from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 50 = 0 qualify rank <= 50),
-fu as (select query_id, vec_id, sum(1 / (60 + rank)) score, max(case when leg = 'knn' then rank end) knn_rank, max(case when leg = 'label' then rank end) label_rank
-       from (select *, 'knn' leg from l1 union all select *, 'label' from l2) group by 1, 2),
-hy as (select *, row_number() over (partition by query_id order by round(score, 12) desc, vec_id) as rank from fu qualify rank <= 20),
-ju as (select a.vec_id::varchar query_id, b.vec_id from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
-po as (select query_id, vec_id, string_agg(leg || '=' || rank, ' ' order by leg || '=' || rank) ranks
-       from (select *, 'knn' leg from l1 union all select *, 'label' from l2) where rank <= 10 group by 1, 2)"""
-
+_FIELD = lambda f, name, weight, among: f"""
+{name}t as (select review_id, {_TOK(f)} w from f),
+{name}p as (select review_id, term, len, count(*) tf from (select review_id, len(w) len, unnest(w) term from {name}t where len(w) > 0) group by 1, 2, 3),
+{name}d as (select term, count(*) df from {name}p group by 1),
+{name}n as (select count(*) n, avg(len(w)) mean from {name}t where len(w) > 0),
+{name}s as (select query_id, review_id, {weight} * sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) score
+            from {name}p join qt using (term) join {name}d using (term), {name}n where {among} group by 1, 2)"""
+_VALID = "len(vector) = 384 and len(list_filter(vector, lambda x: x is null or isnan(x))) = 0 and list_sum(list_transform(vector, lambda x: x * x)) > 0"
+EMBEDDED = f"""
+ev as (select *, coalesce(embedding_spec_hash, '') spec from review_embeddings where review_id is not null and {_VALID}),
+em as (select review_id, vector v from ev where spec = (select spec from ev group by 1 order by count(distinct review_id) desc, spec limit 1)
+       qualify row_number() over (partition by review_id order by embedded_at desc nulls last, vector desc) = 1)"""
+LEGS = lambda among="true", k=50: f"""{_F}, {EMBEDDED},
+aq as (select review_id query_id, title as text, v q, rating stratum, parent_asin asked_asin from f join em using (review_id) where kafka_offset % 50 = 0),
+qt as (select query_id, term, count(*) times from (select query_id, unnest({_TOK("text")}) term from aq) group by 1, 2), {_FIELD("text", "x", 2, among)}, {_FIELD("title", "b", 1, among)},
+l1 as (select query_id, review_id, max(score) score, row_number() over (partition by query_id order by round(max(score), 9) desc, review_id) as rank
+       from (select * from xs union all select * from bs) where query_id <> review_id group by 1, 2 qualify rank <= {k}),
+l2 as (select query_id, review_id, 1 + list_cosine_similarity(v::double[], q::double[]) score, row_number() over (partition by query_id order by round(score, 9) desc, review_id) as rank
+       from em, aq where query_id <> review_id qualify rank <= 50),
+fu as (select query_id, review_id, sum(1 / (60 + rank)) score, max(case when leg = 'bm25' then rank end) bm25_rank, max(case when leg = 'knn' then rank end) knn_rank
+       from (select *, 'bm25' leg from l1 union all select *, 'knn' from l2) group by 1, 2),
+hy as (select *, row_number() over (partition by query_id order by round(score, 12) desc, review_id) as rank from fu),
+po as (select query_id, review_id, string_agg(leg || '=' || rank, ' ' order by leg || '=' || rank) ranks
+       from (select query_id, review_id, rank, 'bm25_plain' leg from l1 union all select query_id, review_id, rank, 'knn' from l2 union all select query_id, review_id, rank, 'hybrid' from hy) where rank <= 10 group by 1, 2)"""
+_COHORT = "review_id in (select review_id from em)"
 ORACLE = {
     "text_document_terms": f"with {TERMS} select * from dt",
     "text_term_frequency": f"with {TERMS} select term, count(*) documents from dt group by 1",
@@ -317,15 +362,28 @@ u as (select query_id, doc_id, round(max(score), 9) score from (select * from xs
 select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from u qualify rank <= 10""",
     "search_knn": f"with {KNN} select query_id, vec_id, round(score, 6) score from ks qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10",
     "search_scoped_knn": f"with {KNN} select query_id, vec_id, round(score, 6) score from ks where label = 3 qualify row_number() over (partition by query_id order by score desc, vec_id) <= 5",
-    "search_hybrid": f"with {LEGS} select * replace (round(score, 9) as score) from hy",
-    "search_pool": f"with {LEGS} select * from po",
-    "search_completeness": f"with {LEGS} select query_id, count(*) pooled, count(ju.vec_id) judged, count(ju.vec_id) = count(*) complete from po left join ju using (query_id, vec_id) group by 1",
-    "search_measures": f"""with {LEGS},
-r as (select query_id, count(*) filter (where rank <= 5) hits, min(rank) ft from (select * from l1 where rank <= 10) join ju using (query_id, vec_id) group by 1),
-p as (select query_id, coalesce(hits, 0) / 5 p, coalesce(1 / ft, 0) rr from (select distinct query_id from ju) left join r using (query_id))
-select count(*) queries, round(avg(p), 9) precision_at_5, round(avg(rr), 9) mrr_at_10 from p""",
-    "search_fusion_recall": f"""with {LEGS},
-r as (select query_id, round(count(h.vec_id) / 10, 9) recall from (select * from l1 where rank <= 10) t left join (select query_id, vec_id from hy where rank <= 10) h using (query_id, vec_id) group by 1)
+    "search_hybrid": f"with {LEGS()} select * replace (round(score, 9) as score) from hy where rank <= 20",
+    "search_hybrid_cohort": f"with {LEGS(_COHORT)} select * replace (round(score, 9) as score) from hy where rank <= 10",
+    "search_bm25_cohort": f"with {LEGS(_COHORT, 10)} select * replace (round(score, 9) as score) from l1",
+    "search_scoped_hybrid": f"""with {WINDOWED}, {EMBEDDED},
+qt as (select 'all' query_id, term, count(*) times from (select unnest({_TOK("'" + " ".join(t for ts in LISTS.values() for t in ts) + "'")}) term) group by 1, 2), {_FIELD("text", "x", 2, "true")}, {_FIELD("title", "b", 1, "true")},
+ins as (select parent_asin || '|' || win query_id, parent_asin, review_id from (select *, year(event_ts) * 12 + month(event_ts) - 1 ix from f) join wi using (parent_asin) where ix between lo and hi),
+hb as (select review_id, max(score) score from (select * from xs union all select * from bs) group by 1),
+l1 as (select query_id, review_id, row_number() over (partition by query_id order by round(score, 9) desc, review_id) as rank from ins join hb using (review_id) qualify rank <= 50),
+fq as (select parent_asin, arg_min(v, review_id) q from ins join em using (review_id) group by 1),
+l2 as (select query_id, review_id, row_number() over (partition by query_id order by round(1 + list_cosine_similarity(v::double[], q::double[]), 9) desc, review_id) as rank from ins join em using (review_id) join fq using (parent_asin) qualify rank <= 50),
+fu as (select query_id, review_id, sum(1 / (60 + rank)) score, max(case when leg = 'bm25' then rank end) bm25_rank, max(case when leg = 'knn' then rank end) knn_rank
+       from (select *, 'bm25' leg from l1 union all select *, 'knn' from l2) group by 1, 2)
+select * replace (round(score, 9) as score), row_number() over (partition by query_id order by round(score, 12) desc, review_id) as rank from fu qualify rank <= 10""",
+    "search_pool": f"with {LEGS()} select * from po",
+    "search_completeness": f"""with {LEGS()} select query_id, count(*) pooled, count(verified_purchase) judged, count(verified_purchase) = count(*) complete from po join f using (review_id) group by 1""",
+    "search_measures": f"""with {LEGS()},
+j as (select query_id, rank, case when verified_purchase is not null then parent_asin = asked_asin end relevant from hy join f using (review_id) join aq using (query_id) where rank <= 10),
+t as (select query_id, count(*) = 10 and count(relevant) = 10 complete, count(*) filter (where relevant and rank <= 5) hits, min(case when relevant then rank end) ft from j group by 1)
+select stratum, count(*) queries, count(*) filter (where complete) complete, round(avg(case when complete then hits / 5 end), 9) precision_at_5, round(avg(case when complete then coalesce(1 / ft, 0) end), 9) mrr_at_10
+from aq left join t using (query_id) group by 1""",
+    "search_fusion_recall": f"""with {LEGS()},
+r as (select query_id, round(count(h.review_id) / 10, 9) recall from (select * from l2 where rank <= 10) t left join (select query_id, review_id from hy where rank <= 10) h using (query_id, review_id) group by 1)
 select count(*) queries, round(avg(recall), 9) mean_recall, min(recall) min_recall, count(*) filter (where recall = 1) perfect, count(*) filter (where recall < 0.8) below_80 from r""",
     "search_norm_audit": """select len(embedding)::int dims, count(*) vectors, count(*) filter (where abs(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x))) - 1) < 1e-3) unit_norm
 from embeddings group by 1""",
