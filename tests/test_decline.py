@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,64 +13,59 @@ from tidemark.session import scratch
 from tidemark.sources.versioned import VersionedTable
 
 RULE = decline.Rule(baseline=3, recent=3, delta=0.5, persistence=2, max_gap=1, recovery=2, min_reviews=6, min_active=2)
+CALENDAR = "parent_asin string, ix int, review_count bigint, rating_sum double, neg_count bigint, verified_count bigint, verified_rating_sum double, nonempty_text_count bigint, long_text_count bigint"
+JANUARY = 2015 * 12
 
 
-def spine(spark, means, asin="A", n=4, start=2015 * 12):
-    rows = [(asin, start + i, 0 if v is None else n, 0.0 if v is None else n * v, 0, n, 0.0, n, n // 2) for i, v in enumerate(means)]
-    return spark.createDataFrame(rows, "parent_asin string, ix int, review_count bigint, rating_sum double, neg_count bigint, verified_count bigint, verified_rating_sum double, nonempty_text_count bigint, long_text_count bigint")
+def calendar(spark, products):
+    """Months from January 2015 on, four reviews each; ``products`` maps a name to runs of months as (mean or None, how many)."""
+    rows = []
+    for name, runs in products.items():
+        months = [mean for mean, times in runs for _ in range(times)]
+        rows += [(name, JANUARY + i, *((0, 0.0, 0, 0, 0.0, 0, 0) if m is None else (4, 4 * m, 0, 4, 0.0, 4, 2))) for i, m in enumerate(months)]
+    return spark.createDataFrame(rows, CALENDAR)
 
 
-def run(spark, means, rule=RULE):
-    p = decline.points(spine(spark, means), rule).cache()
-    return {r.point_month: r for r in p.collect()}, decline.episodes(p, rule).orderBy("condition_started_at").collect(), p
+# Runs of months, changes of the rule, and per episode: condition start, alert, close, reason.
+TRACES = {
+    "flat": ([(4.5, 10)], {}, []),
+    "step": ([(4.5, 6), (3.5, 6)], {}, [("2015-05", "2015-06", "2015-09", "recovery")]),
+    "gap": ([(4.5, 4), (3.0, 3), (None, 3), (3.0, 4)], {"max_gap": 0}, [("2015-03", "2015-04", "2015-06", "gap")]),
+    "twice": ([(4.5, 4), (3.0, 4), (4.5, 6), (3.0, 4)], {}, [("2015-03", "2015-04", "2015-07", "recovery"), ("2015-12", "2016-01", "2016-03", "end_of_data")]),
+}
 
 
-def test_flat_product(spark):
-    pts, eps, _ = run(spark, [4.5] * 10)
-    assert len(pts) == 5 and min(pts) == "2015-03" and all(r.evaluable for r in pts.values()) and eps == []
+@pytest.mark.parametrize("name", TRACES)
+def test_traces(spark, name):
+    runs, change, expected = TRACES[name]
+    rule = replace(RULE, **change)
+    found = decline.episodes(decline.points(calendar(spark, {"A": runs}), rule), rule).orderBy("condition_started_at").collect()
+    assert [(e.condition_started_at, e.alert_triggered_at, e.episode_closed_at, e.closed_by) for e in found] == expected
 
 
-def test_step_decline(spark):
-    pts, (ep,), p = run(spark, [4.5] * 6 + [3.5] * 6)
-    assert pts["2015-05"].condition
-    assert (ep.condition_started_at, ep.alert_triggered_at, ep.alert_complete_month, ep.closed_by, ep.last_supported_at, ep.episode_closed_at) == ("2015-05", "2015-06", "2015-09", "recovery", "2015-07", "2015-09")
-    assert ep.drop_at_alert == pytest.approx(1.0)
-    keys = {r.point_month: r.episode_id for r in decline.point_episodes(p, decline.episodes(p, RULE)).collect()}
-    assert keys["2015-05"] == keys["2015-09"] == "A:2015-05" and keys["2015-04"] is None
+def test_points_of_a_step_and_of_a_hole(spark):
+    step, hole = [(4.5, 6), (3.5, 6)], [(4.5, 5), (3.4, 1), (None, 2), (3.4, 4)]
+    p = decline.points(calendar(spark, {"S": step, "H": hole, "F": [(4.5, 10)]}), RULE).cache()
+    at = {(r.parent_asin, r.point_month): r for r in p.collect()}
+    assert sum(a == "F" for a, _ in at) == 5 and all(at["F", f"2015-0{m}"].evaluable for m in range(3, 8))
+    assert [at["H", f"2015-0{m}"].condition for m in (3, 4)] == [False, True] and at["H", "2015-05"].unevaluable_reason == "recent_reviews"
+    (e,) = decline.episodes(p.where("parent_asin = 'S'"), RULE).collect()
+    assert (e.alert_complete_month, e.last_supported_at, e.drop_at_alert) == ("2015-09", "2015-07", pytest.approx(1.0))
+    of = {r.point_month: r.episode_id for r in decline.point_episodes(p, decline.episodes(p, RULE)).where("parent_asin = 'S'").collect()}
+    assert (of["2015-04"], of["2015-05"], of["2015-09"]) == (None, "S:2015-05", "S:2015-05")
 
 
-def test_unevaluable_point_resets(spark):
-    pts, _, _ = run(spark, [4.5] * 5 + [3.4, None, None] + [3.4] * 4)
-    assert pts["2015-03"].condition is False and pts["2015-04"].condition is True and pts["2015-05"].unevaluable_reason == "recent_reviews"
-
-
-def test_recovery_then_a_second_episode(spark):
-    _, eps, _ = run(spark, [4.5] * 4 + [3.0] * 4 + [4.5] * 6 + [3.0] * 4)
-    assert [e.closed_by for e in eps] == ["recovery", "end_of_data"] and eps[1].condition_started_at > eps[0].episode_closed_at
-
-
-def test_gap_closes(spark):
-    from dataclasses import replace
-
-    _, eps, _ = run(spark, [4.5] * 4 + [3.0] * 3 + [None] * 3 + [3.0] * 4, replace(RULE, max_gap=0))
-    assert eps[0].closed_by == "gap"
-
-
-def test_holdout_points_are_withheld(spark):
-    from dataclasses import replace
-
-    open_, _, _ = run(spark, [4.5] * 12, replace(RULE, holdout_ix=2015 * 12 + 6, frozen=False))
-    assert max(open_) < "2015-07" and len(run(spark, [4.5] * 12)[0]) > len(open_)
+def test_holdout_points_are_withheld_until_the_rule_is_frozen(spark):
+    months = calendar(spark, {"A": [(4.5, 12)]})
+    open_rule = replace(RULE, holdout_ix=JANUARY + 6, frozen=False)
+    last = lambda rule: decline.points(months, rule).agg(F.max("ix")).first()[0]
+    assert last(open_rule) == JANUARY + 5 and last(replace(open_rule, frozen=True)) == last(RULE) == JANUARY + 8
 
 
 def test_fold_equals_a_plain_machine(spark):
     rng = random.Random(5)
-    means = {f"P{i}": [rng.choice([None, 5.0, 4.0, 3.0, 2.0]) for _ in range(40)] for i in range(40)}
-    frames = [spine(spark, m, a) for a, m in means.items()]
-    u = frames[0]
-    for f in frames[1:]:
-        u = u.unionByName(f)
-    p = decline.points(u, RULE).cache()
+    months = calendar(spark, {f"P{i}": [(rng.choice([None, 5.0, 4.0, 3.0, 2.0]), 1) for _ in range(40)] for i in range(40)})
+    p = decline.points(months, RULE).cache()
     want = []
     by = {}
     for r in sorted(p.collect(), key=lambda r: r.ix):

@@ -26,21 +26,41 @@ def handles(retrieved: DataFrame) -> DataFrame:
 def violations(answers: DataFrame, claims: DataFrame, retrieved: DataFrame, scopes: DataFrame) -> DataFrame:
     """(question_id, rule, times) of the broken rules.
 
-    ``answers`` (question_id, status, refused), ``claims`` (question_id, claim,
-    citations array<struct<cite_id, window>>), ``retrieved`` (question_id,
-    cite_id, window, ix), ``scopes`` (question_id, window, lo, hi).
+    ``answers`` (question_id, status, refused, reason), ``claims`` (question_id,
+    claim, citations array<struct<cite_id, window>>), ``retrieved``
+    (question_id, cite_id, window, ix), ``scopes`` (question_id, window, lo, hi).
+
+    An answer that didn't succeed breaks the first rule and isn't judged
+    further.  A refusal breaks the second for each of: carrying claims,
+    carrying citations, lacking a written reason; nothing else of it is judged.
+    Another answer breaks the third if it has no claims, and for each claim
+    without citations; the fourth for each citation of something that wasn't
+    retrieved for its question, the fifth for each whose window isn't declared,
+    isn't the one it was retrieved for, or doesn't hold the review's month.
     """
-    stuck = answers.where(~F.coalesce(F.col("status").isin("succeeded", "parse_failed"), F.lit(False))).select("question_id", F.lit(RULES[0]).alias("rule"))
-    refused = claims.join(answers.where("refused"), "question_id", "left_semi").select("question_id", F.lit(RULES[1]).alias("rule"))
-    bare = claims.where(F.coalesce(F.size("citations"), F.lit(0)) == 0).select("question_id", F.lit(RULES[2]).alias("rule"))
-    cited = claims.select("question_id", "claim", F.explode("citations").alias("c")).select("question_id", "claim", "c.cite_id", F.col("c.window").alias("said"))
-    found = cited.join(retrieved.select("question_id", "cite_id", "window", "ix"), ["question_id", "cite_id"], "left").join(scopes, ["question_id", "window"], "left")
-    inside = (F.col("window") == F.col("said")) & F.col("ix").between(F.col("lo"), F.col("hi"))
-    wrong = found.select(
-        "question_id", F.when(F.col("window").isNull(), RULES[3]).when(~F.coalesce(inside, F.lit(False)), RULES[4]).alias("rule")
-    ).where("rule is not null")
-    u = stuck.unionByName(refused).unionByName(bare).unionByName(wrong)
-    return u.groupBy("question_id", "rule").agg(F.count(F.lit(1)).alias("times"))
+    done = F.coalesce(F.col("status") == "succeeded", F.lit(False))
+    refused = F.coalesce(F.col("refused"), F.lit(False))
+    carried = claims.groupBy("question_id").agg(F.count(F.lit(1)).alias("claims"), F.sum(F.greatest(F.coalesce(F.size("citations"), F.lit(0)), F.lit(0))).alias("cited"), F.count(F.when(F.coalesce(F.size("citations"), F.lit(0)) <= 0, 1)).alias("bare"))
+    a = answers.join(carried, "question_id", "left").na.fill(0, ["claims", "cited", "bare"])
+    blank = F.coalesce(F.trim("reason"), F.lit("")) == ""
+    of_refusal = (F.col("claims") > 0).cast("long") + (F.col("cited") > 0).cast("long") + blank.cast("long")
+    of_answer = F.when(F.col("claims") == 0, 1).otherwise(F.col("bare"))
+    shape = a.select(
+        "question_id",
+        F.when(~done, F.struct(F.lit(RULES[0]).alias("rule"), F.lit(1).cast("long").alias("times")))
+        .when(refused, F.struct(F.lit(RULES[1]).alias("rule"), of_refusal.alias("times")))
+        .otherwise(F.struct(F.lit(RULES[2]).alias("rule"), of_answer.cast("long").alias("times")))
+        .alias("r"),
+    ).select("question_id", "r.rule", "r.times").where("times > 0")
+    open_claims = claims.join(answers.where(done & ~refused).select("question_id"), "question_id", "left_semi")
+    cited = open_claims.select("question_id", F.explode("citations").alias("c")).select("question_id", "c.cite_id", F.col("c.window").alias("said"))
+    shown = retrieved.select("question_id", "cite_id", F.col("window").alias("shown"), "ix")
+    declared = scopes.select("question_id", F.col("window").alias("said"), "lo", "hi")
+    found = cited.join(shown, ["question_id", "cite_id"], "left").join(declared, ["question_id", "said"], "left")
+    inside = (F.col("shown") == F.col("said")) & F.col("ix").between(F.col("lo"), F.col("hi"))
+    rule = F.when(F.col("shown").isNull(), RULES[3]).when(~F.coalesce(inside, F.lit(False)), RULES[4])
+    wrong = found.select("question_id", rule.alias("rule")).where("rule is not null").groupBy("question_id", "rule").agg(F.count(F.lit(1)).alias("times"))
+    return shape.unionByName(wrong)
 
 
 def window_ratings(reviews: DataFrame, windows: DataFrame) -> DataFrame:

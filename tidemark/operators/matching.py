@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,26 +16,39 @@ def never_alerting(points: DataFrame, episodes: DataFrame) -> DataFrame:
 
 
 def candidate_points(points: DataFrame, episodes: DataFrame) -> DataFrame:
-    """The point at which each episode alerted."""
+    """The point at which each episode alerted; an episode without its point is an error."""
     e = episodes.select("parent_asin", F.col("alert_triggered_at").alias("point_month"), "episode_id")
-    return points.join(e, ["parent_asin", "point_month"])
+    # a left join keeps lost episodes, so that they stop the job instead of vanishing
+    j = e.join(points.withColumn("_here", F.lit(True)), ["parent_asin", "point_month"], "left")
+    lost = F.raise_error(F.concat(F.lit("no evaluation point of episode "), F.col("episode_id")))
+    return j.withColumn("episode_id", F.when(F.col("_here").isNull(), lost).otherwise(F.col("episode_id"))).drop("_here")
 
 
-def matched_controls(points: DataFrame, episodes: DataFrame, per_case: int = 2, mean_diff: float = 0.5, ratio: tuple[float, float] = (0.5, 2.0), texts: int = 1) -> DataFrame:
+def matched_controls(
+    points: DataFrame, episodes: DataFrame, per_case: int = 2, mean_diff: float = 0.5, ratio: tuple[float, float] = (0.5, 2.0), texts: int = 1, long_texts: int = 0
+) -> DataFrame:
     """The nearest never-alerting products of the same month for each episode.
 
-    An equi-join on the month with a residual on means and volumes; ranks by
-    difference of means, then of log volumes, then product.
+    Products need ``texts`` reviews with text and ``long_texts`` long ones in
+    both windows.  Means and volumes are bucketed as wide as they may differ, so
+    a case only meets products of its month in the neighbouring buckets; ranks
+    by difference of means, then of log volumes, then product.
     """
+    wide = float(max(abs(math.log2(r)) for r in ratio)) or 1.0
+    pool = never_alerting(points, episodes).where(
+        F.col("evaluable") & ~F.col("condition") & (F.col("baseline_reviews") > 0)
+        & (F.least("baseline_nonempty_text", "recent_nonempty_text") >= texts) & (F.least("baseline_long_text", "recent_long_text") >= long_texts)
+    )
+    cell = lambda c, width: F.floor(c / F.lit(width)).cast("int")
+    near = lambda c: F.explode(F.array(c - 1, c, c + 1))
     cases = candidate_points(points, episodes).select(
         "ix", "point_month", "episode_id", F.col("parent_asin").alias("case_asin"), F.col("baseline_mean").alias("case_mean"), F.col("baseline_reviews").alias("case_reviews")
     )
-    pool = never_alerting(points, episodes).where(
-        F.col("evaluable") & ~F.col("condition") & (F.col("baseline_nonempty_text") >= texts) & (F.col("recent_nonempty_text") >= texts)
-    )
+    cases = cases.select("*", near(cell(F.col("case_mean"), mean_diff)).alias("_m")).select("*", near(cell(F.log2("case_reviews"), wide)).alias("_v"))
+    pool = pool.drop("point_month").withColumn("_m", cell(F.col("baseline_mean"), mean_diff)).withColumn("_v", cell(F.log2("baseline_reviews"), wide))
     volume = F.col("baseline_reviews") / F.col("case_reviews")
     diff = F.abs(F.col("baseline_mean") - F.col("case_mean"))
-    pairs = cases.join(pool.drop("point_month"), "ix").where((F.col("parent_asin") != F.col("case_asin")) & (diff <= mean_diff) & volume.between(*ratio))
+    pairs = cases.join(pool, ["ix", "_m", "_v"]).where((F.col("parent_asin") != F.col("case_asin")) & (diff <= mean_diff) & volume.between(*ratio))
     order = Window.partitionBy("episode_id").orderBy("baseline_mean_diff", "abs_log2_volume_ratio", "control_asin")
     return (
         pairs.select(
@@ -47,6 +62,15 @@ def matched_controls(points: DataFrame, episodes: DataFrame, per_case: int = 2,
     )
 
 
+def case_outcomes(points: DataFrame, episodes: DataFrame, controls: DataFrame, per_case: int = 2, texts: int = 1) -> DataFrame:
+    """(episode_id, controls, drop_reason): whether each case is kept; the first reason that drops it, else null."""
+    found = controls.groupBy("episode_id").agg(F.count(F.lit(1)).alias("controls"))
+    cases = candidate_points(points, episodes).select("episode_id", (F.least("baseline_nonempty_text", "recent_nonempty_text") >= texts).alias("texts"))
+    j = cases.join(found, "episode_id", "left").withColumn("controls", F.coalesce("controls", F.lit(0)).cast("long"))
+    why = F.when(~F.col("texts"), "too_little_text").when(F.col("controls") == 0, "no_control").when(F.col("controls") < per_case, "too_few_controls")
+    return j.select("episode_id", "controls", why.alias("drop_reason"))
+
+
 def smallest(df: DataFrame, identifier: str, k: int, seed: int, salt: str) -> DataFrame:
     """The k rows of the smallest draw key: a bounded top-k, no global sort."""
     return df.withColumn("draw", draw_key(F.col(identifier), seed, salt)).orderBy("draw", identifier).limit(k)

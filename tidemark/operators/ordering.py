@@ -36,16 +36,21 @@ def disorder(positions: DataFrame, ts: str = "ts", bucket: int = 100_000) -> Dat
     return inner.join(last, "_b", "left").where(F.col(ts) < F.coalesce("_prev", "_last")).drop("_b", "_prev", "_last")
 
 
-def simulate_watermark(positions: DataFrame, batch: int, delay_ms: int) -> DataFrame:
+def simulate_watermark(positions: DataFrame, batch: int, delay_ms: int, chunk: int = 10_000) -> DataFrame:
     """Rows that a streaming watermark would drop: (pos, batch, ts_ms).
 
     Batch N is filtered by the watermark that N - 2 and earlier batches set.
-    ``positions`` is (pos, ts_ms).  The window runs over batches, not rows.
+    ``positions`` is (pos, ts_ms), dense.  Windows run over batches of one range
+    of ``chunk`` batches and over ranges, never over all batches.
     """
     rows = positions.select("pos", "ts_ms", F.floor(F.col("pos") / F.lit(batch)).alias("batch"))
-    top = rows.groupBy("batch").agg(F.max("ts_ms").alias("top"))
-    w = Window.partitionBy(F.lit(0)).orderBy("batch").rowsBetween(Window.unboundedPreceding, -2)
-    marks = top.select("batch", (F.max("top").over(w) - F.lit(delay_ms)).alias("mark"))
+    # what batch N shows is in force from batch N + 2 on: prefix maxima by range of batches, then over ranges
+    top = rows.groupBy((F.col("batch") + 2).alias("batch")).agg(F.max("ts_ms").alias("top")).withColumn("_c", F.floor(F.col("batch") / F.lit(chunk)))
+    inner = Window.partitionBy("_c").orderBy("batch")
+    ahead = Window.partitionBy(F.lit(0)).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    before = top.groupBy("_c").agg(F.max("top").alias("t")).select("_c", F.max("t").over(ahead).alias("_before"))
+    own = top.withColumn("_own", F.max("top").over(inner)).join(before, "_c")
+    marks = own.select("batch", (F.greatest("_own", "_before") - F.lit(delay_ms)).alias("mark"))
     return rows.join(marks, "batch").where(F.col("ts_ms") < F.col("mark")).select("pos", "batch", "ts_ms")
 
 
@@ -60,7 +65,11 @@ def first_at_or_after(targets: DataFrame, positions: DataFrame, grain_ms: int =
     firsts = rows.groupBy("bucket").agg(F.min("pos").alias("first_pos"))
     t = targets.select("id", "target_ms", g("target_ms").alias("bucket"))
     same = t.join(rows, "bucket").where("ts_ms >= target_ms").groupBy("id").agg(F.min("pos").alias("same_pos"))
-    later = t.select("id", F.col("bucket").alias("b")).join(F.broadcast(firsts), F.col("bucket") > F.col("b")).groupBy("id").agg(F.min("first_pos").alias("later_pos"))
+    # the first row after each bucket, for buckets of rows and of targets; a calendar bounds their number
+    w = Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
+    every = firsts.unionByName(t.select("bucket", F.lit(None).cast("bigint").alias("first_pos"))).groupBy("bucket").agg(F.min("first_pos").alias("first_pos"))
+    after = every.select("bucket", F.first("first_pos", ignorenulls=True).over(w).alias("later_pos"))
+    later = t.select("id", "bucket").join(after, "bucket").select("id", "later_pos")
     return t.select("id", "target_ms").join(same, "id", "left").join(later, "id", "left").select("id", "target_ms", F.coalesce("same_pos", "later_pos").alias("pos"))
 
 

@@ -62,33 +62,55 @@ def best_cut(df: DataFrame, grid: list[float], score: str = "score", label: str
 def star_rule(labelled: DataFrame) -> DataFrame:
     """Per theme the star bound k with the best F1 of ``rating <= k``: (theme, k, tp, fp, fn, f1).
 
-    ``labelled`` is (id, rating, themes): each item with the array of its themes.
+    ``labelled`` is (id, rating, themes): each item with the array of its
+    themes.  Themes, any number of them, and items are counted by star; what a
+    bound gets wrong follows from both counts.
     """
-    themes = [r.theme for r in labelled.select(F.explode("themes").alias("theme")).distinct().orderBy("theme").limit(1000).collect()]
-    long = labelled.select((-F.col("rating")).cast("double").alias("score"), "themes", F.explode(F.array(*map(F.lit, themes)) if themes else F.array().cast("array<string>")).alias("theme"))
-    rows = long.select("theme", "score", F.array_contains("themes", F.col("theme")).cast("int").alias("label"))
-    best = best_cut(rows, [-1.0, -2.0, -3.0, -4.0, -5.0])
-    return best.select("theme", (-F.col("cut")).cast("int").alias("k"), "tp", "fp", "fn", "f1")
+    stars = F.sequence(F.lit(1), F.lit(5))
+    own = labelled.select("rating", F.explode(F.array_distinct("themes")).alias("theme")).groupBy("theme", "rating").agg(F.count(F.lit(1)).alias("n"))
+    own = own.select("theme", "rating", "n", F.explode(stars).alias("k")).groupBy("theme", "k").agg(
+        F.sum(F.when(F.col("rating") <= F.col("k"), F.col("n")).otherwise(0)).alias("tp"), F.sum("n").alias("support")
+    )
+    every = labelled.select("rating", F.explode(stars).alias("k")).groupBy("k").agg(F.count(F.when(F.col("rating") <= F.col("k"), 1)).alias("said"))
+    c = own.join(F.broadcast(every), "k").select("theme", "k", "tp", (F.col("said") - F.col("tp")).alias("fp"), (F.col("support") - F.col("tp")).alias("fn"))  # five rows
+    scored = c.withColumn("f1", F.round(f1(F.col("tp"), F.col("fp"), F.col("fn")), 9))
+    w = Window.partitionBy("theme").orderBy(F.desc("f1"), F.desc("k"))
+    return scored.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+
+
+def _both(ratings: DataFrame, first: str, second: str) -> DataFrame:
+    a = ratings.where(F.col("rater") == first).select("id", F.col("label").alias("a"))
+    b = ratings.where(F.col("rater") == second).select("id", F.col("label").alias("b"))
+    return a.join(b, "id")
 
 
 def agreement(ratings: DataFrame, first: str, second: str) -> DataFrame:
     """Per label: how two raters agree on the items both rated, with kappa and a Wilson interval.
 
-    ``ratings`` is (id, rater, label), one label of a rater for an item.
+    ``ratings`` is (id, rater, label), one label of a rater for an item.  An
+    item meets only the labels that it was given.
     """
-    a = ratings.where(F.col("rater") == first).select("id", F.col("label").alias("a"))
-    b = ratings.where(F.col("rater") == second).select("id", F.col("label").alias("b"))
-    both = a.join(b, "id")
-    labels = both.select(F.explode(F.array("a", "b")).alias("label")).distinct()
-    pairs = both.join(F.broadcast(labels), F.lit(True))
+    both = _both(ratings, first, second)
+    items = both.agg(F.count(F.lit(1))).scalar()
     n = lambda c: F.sum(c.cast("int")).cast("long")
     is_a, is_b = F.col("a") == F.col("label"), F.col("b") == F.col("label")
-    g = pairs.groupBy("label").agg(F.count(F.lit(1)).alias("items"), n(is_a & is_b).alias("both"), n(is_a).alias("first"), n(is_b).alias("second"))
+    said = both.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("label"))
+    g = said.groupBy("label").agg(n(is_a & is_b).alias("both"), n(is_a).alias("first"), n(is_b).alias("second")).withColumn("items", items)
     agree = F.col("items") - F.col("first") - F.col("second") + 2 * F.col("both")
     lo, hi = wilson(agree, F.col("items"))
     return g.select("*", F.round(kappa(F.col("both"), F.col("first"), F.col("second"), F.col("items")), 9).alias("kappa"), F.round(lo, 9).alias("low"), F.round(hi, 9).alias("high"))
 
 
+def pooled_agreement(ratings: DataFrame, first: str, second: str) -> DataFrame:
+    """One row: items, labels, items with equal labels, decisions (items x labels), those agreed on, and pooled kappa."""
+    both = _both(ratings, first, second)
+    g = both.agg(F.count(F.lit(1)).alias("items"), F.count(F.when(F.col("a") == F.col("b"), 1)).alias("equal_sets"))
+    labels = both.select(F.explode(F.array("a", "b")).alias("label")).agg(F.count_distinct("label").alias("labels"))
+    x = g.join(labels, F.lit(True)).withColumn("decisions", F.col("items") * F.col("labels"))
+    k = kappa(F.col("equal_sets"), F.col("items"), F.col("items"), F.col("decisions"))
+    return x.select("items", "labels", "equal_sets", "decisions", (F.col("decisions") - 2 * (F.col("items") - F.col("equal_sets"))).alias("agreed"), F.round(k, 9).alias("kappa"))
+
+
 def poisson_weight(identifier: Column, draw: Column, seed: int) -> Column:
     """How often a cluster stands in one resample: Poisson of mean 1, from a hash."""
     h = F.sha2(F.concat_ws("\u001f", F.lit(str(seed)), draw.cast("string"), identifier), 256)

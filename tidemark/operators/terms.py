@@ -9,8 +9,12 @@ from ..functions.canonical import tokens
 
 # Words that carry no theme by themselves.
 STOPWORDS = [
-    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "had", "has", "have", "i", "in", "is", "it", "its", "my", "not", "of", "on",
-    "or", "so", "that", "the", "this", "to", "was", "we", "were", "when", "which", "with", "would", "you", "your",
+    "a", "about", "after", "all", "also", "am", "an", "and", "any", "are", "as", "at", "be", "because", "been", "before", "being", "but", "by", "can", "cant",
+    "could", "did", "didnt", "do", "does", "doesnt", "doing", "dont", "for", "from", "get", "got", "had", "has", "have", "having", "he", "her", "here", "hers",
+    "him", "his", "how", "i", "if", "in", "into", "is", "it", "its", "just", "me", "more", "most", "my", "no", "nor", "not", "now", "of", "off", "on", "once",
+    "one", "only", "or", "other", "our", "out", "over", "own", "same", "she", "should", "so", "some", "such", "than", "that", "the", "their", "them", "then",
+    "there", "these", "they", "this", "those", "through", "to", "too", "under", "until", "up", "very", "was", "we", "were", "what", "when", "where", "which",
+    "while", "who", "whom", "why", "will", "with", "would", "you", "your", "it's", "i've", "i'd", "don't", "didn't",
 ]
 
 
@@ -40,23 +44,29 @@ def mine(doc_terms: DataFrame, themes: DataFrame, corpus: int | Column, least: i
     """Terms owned by a theme: (theme, term, in_theme, odds, rank).
 
     ``doc_terms`` is (doc_id, term), ``themes`` (doc_id, theme), one each.  A
-    term counts for a theme when ``least`` of its documents hold it, with odds
-    of ``odds`` against other themes, and at most ``common`` of the corpus does.  The
-    theme with the highest odds owns it; ties go to the first by name.
+    term counts for a theme when ``least`` of its documents hold it, its rate
+    there is ``odds`` times the rate in other themes' documents (any number of
+    times where those don't hold it: infinity), and at most ``common`` of the
+    corpus holds it.  The theme with the highest odds owns it; ties go to the
+    last by name.
     """
+    if least < 1 or odds <= 1 or not 0 < common <= 1:
+        raise ValueError("least must be 1 or more, odds above 1, common in (0, 1]")
     sizes = themes.groupBy("theme").agg(F.count(F.lit(1)).alias("theme_docs"))
     total = themes.agg(F.count(F.lit(1))).scalar()
     corpus = F.lit(corpus) if isinstance(corpus, int) else corpus
-    by_theme = doc_terms.join(themes, "doc_id").groupBy("term", "theme").agg(F.count(F.lit(1)).alias("in_theme"))
-    spread = by_theme.groupBy("term").agg(F.sum("in_theme").alias("everywhere"))
+    # one pass over the terms: a document without theme counts for the corpus only
+    counts = doc_terms.join(themes, "doc_id", "left").groupBy("term", "theme").agg(F.count(F.lit(1)).alias("in_theme"))
+    term = Window.partitionBy("term")
+    counts = counts.withColumn("documents", F.sum("in_theme").over(term)).withColumn("everywhere", F.sum(F.when(F.col("theme").isNotNull(), F.col("in_theme"))).over(term))
+    rest = (F.col("everywhere") - F.col("in_theme")) / (total - F.col("theme_docs"))
     scored = (
-        by_theme.join(spread, "term")
-        .join(F.broadcast(sizes), "theme")
-        .join(frequency(doc_terms).where(F.col("documents") <= corpus * common), "term")
-        .withColumn("odds", (F.col("in_theme") / F.col("theme_docs")) / ((F.col("everywhere") - F.col("in_theme") + 0.5) / (total - F.col("theme_docs") + 0.5)))
-        .where((F.col("in_theme") >= least) & (F.col("odds") >= odds))
+        counts.where((F.col("in_theme") >= least) & (F.col("documents") <= corpus * common))
+        .join(sizes, "theme")
+        .withColumn("odds", F.when(F.col("everywhere") > F.col("in_theme"), (F.col("in_theme") / F.col("theme_docs")) / rest).otherwise(float("inf")))
+        .where(F.col("odds") >= odds)
     )
-    owner = Window.partitionBy("term").orderBy(F.desc("odds"), "theme")
+    owner = Window.partitionBy("term").orderBy(F.desc("odds"), F.desc("theme"))
     place = Window.partitionBy("theme").orderBy(F.desc("odds"), F.desc("in_theme"), "term")
     owned = scored.withColumn("o", F.row_number().over(owner)).where("o = 1")
     return owned.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= most).select("theme", "term", "in_theme", "odds", "rank")

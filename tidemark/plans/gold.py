@@ -45,6 +45,12 @@ def _never(s, d):
     return matching.never_alerting(p, decline.episodes(p, RULE)).select("parent_asin").distinct()
 
 
+def _outcomes(s, d):
+    p = _points(s, d)
+    e = decline.episodes(p, RULE)
+    return matching.case_outcomes(p, e, matching.matched_controls(p, e))
+
+
 QUERIES = {
     "gold_product_months": lambda s, d: _rounded(months(s, d)),
     "gold_spine": lambda s, d: _rounded(spine.spine(months(s, d)).drop("ix")),
@@ -58,6 +64,7 @@ QUERIES = {
     "gold_point_episodes": _point_episodes,
     "gold_matched_controls": _controls,
     "gold_never_alerting": _never,
+    "gold_case_outcomes": _outcomes,
 }
 
 MONTHS = """
@@ -151,6 +158,17 @@ from p""",
 select p.parent_asin, p.point_month, p.evaluable, ep.episode_id
 from p left join ep on p.parent_asin = ep.parent_asin and p.point_month between ep.condition_started_at and ep.episode_closed_at""",
     "gold_never_alerting": f"with recursive {EPISODES} select distinct parent_asin from p where parent_asin not in (select parent_asin from ep)",
+    "gold_case_outcomes": f"""with recursive {EPISODES},
+cand as (select p.*, ep.episode_id from ep join p on p.parent_asin = ep.parent_asin and p.point_month = ep.alert_triggered_at),
+pool as (select * from p where parent_asin not in (select parent_asin from ep) and evaluable and not cond
+           and b_nonempty_text_count >= 1 and r_nonempty_text_count >= 1),
+r as (select c.episode_id, q.parent_asin control_asin, c.point_month, round(abs(q.baseline_mean - c.baseline_mean), 12) dm,
+        round(abs(log2(q.b_review_count / c.b_review_count)), 12) dv, q.baseline_mean, q.b_review_count, q.recent_mean, q.r_review_count
+      from cand c join pool q on q.ix = c.ix and q.parent_asin <> c.parent_asin
+      where abs(q.baseline_mean - c.baseline_mean) <= 0.5 and q.b_review_count / c.b_review_count between 0.5 and 2),
+k as (select episode_id, least(count(*), 2) n from r group by 1)
+select episode_id, coalesce(n, 0) controls, case when least(b_nonempty_text_count, r_nonempty_text_count) < 1 then 'too_little_text' when coalesce(n, 0) = 0 then 'no_control' when n < 2 then 'too_few_controls' end drop_reason
+from cand left join k using (episode_id)""",
     "gold_matched_controls": f"""with recursive {EPISODES},
 cand as (select p.*, ep.episode_id from ep join p on p.parent_asin = ep.parent_asin and p.point_month = ep.alert_triggered_at),
 pool as (select * from p where parent_asin not in (select parent_asin from ep) and evaluable and not cond

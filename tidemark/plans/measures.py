@@ -126,14 +126,18 @@ def _citations(s, d):
     w = text._windows(s, d)
     got = citations.handles(citations.retrieved_by_draw(r, w, 3, SEED))
     scopes = w.select(F.col("parent_asin").alias("question_id"), "window", "lo", "hi")
-    pick = F.pmod(F.crc32(F.col("question_id").cast("binary")), F.lit(5))
+    # seven kinds of answers, by a hash of the product: sound, three citations at fault, no claims, a refusal with and without reason, one that failed
+    pick = F.conv(F.substring(F.md5(F.col("question_id").cast("binary")), 1, 4), 16, 10).cast("int") % 8
     qs = scopes.select("question_id").distinct().withColumn("k", pick)
-    answers = qs.select("question_id", F.when(F.col("k") == 4, "running").otherwise("succeeded").alias("status"), (F.col("k") == 3).alias("refused"))
-    cites = F.when(F.col("k") == 0, F.array(F.struct(F.lit("R1").alias("cite_id"), F.lit("baseline").alias("window")))).when(F.col("k") == 1, F.array(F.struct(F.lit("R99").alias("cite_id"), F.lit("recent").alias("window")))).when(
-        F.col("k") == 2, F.array(F.struct(F.lit("R1").alias("cite_id"), F.lit("recent").alias("window")))
-    ).otherwise(F.array().cast("array<struct<cite_id:string,window:string>>"))
-    claims = qs.select("question_id", F.lit("c1").alias("claim"), cites.alias("citations"))
-    return citations.violations(answers, claims, got, scopes)
+    answers = qs.select("question_id", F.when(F.col("k") == 7, "parse_failed").otherwise("succeeded").alias("status"), F.col("k").isin(5, 6).alias("refused"), F.when(F.col("k") == 5, "nothing said").alias("reason"))
+    one = lambda c, w: F.array(F.struct(F.lit(c).alias("cite_id"), F.lit(w).alias("window")))
+    cites = (
+        F.when(F.col("k").isin(0, 7), one("R1", "baseline")).when(F.col("k") == 1, one("R99", "recent")).when(F.col("k") == 2, one("R1", "recent"))
+        .when(F.col("k").isin(3, 6), one("R1", "other")).otherwise(F.array().cast("array<struct<cite_id:string,window:string>>"))
+    )
+    claims = qs.where("k <> 4").select("question_id", F.lit("c1").alias("claim"), F.when(F.col("k") != 5, cites).alias("citations")).where("citations is not null")
+    bare = qs.where("k = 0 or k = 2").select("question_id", F.lit("c2").alias("claim"), F.array().cast("array<struct<cite_id:string,window:string>>").alias("citations"))
+    return citations.violations(answers, claims.unionByName(bare), got, scopes)
 
 
 def _decline_bounds(s, d):
@@ -172,16 +176,11 @@ def _events_latest(s, d):
     return ordering.latest(e, ["user_id"], "ts", "event_id")
 
 
-def _percentiles(s, d):
+def _quantiles(s, d):
     e = table(s, d, "silver_reviews").select(F.col("text_word_count").cast("double").alias("n"))
     return profile.quantiles(e, "n", [0.5, 0.9, 0.99]).withColumn("mean", F.round("mean", 6))
 
 
-def _quantiles(s, d):
-    """Mean and maximum only, as its SQL; the quantiles are in ``profile_percentiles``."""
-    return _percentiles(s, d).select("mean", "most")
-
-
 QUERIES = {
     "score_by_theme": lambda s, d: _round(scoring.by_theme(_outcomes(s, d))),
     "score_macro": lambda s, d: _round(scoring.macro(scoring.by_theme(_outcomes(s, d)))),
@@ -189,6 +188,7 @@ QUERIES = {
     "score_best_cut": _cuts,
     "score_star_rule": lambda s, d: scoring.star_rule(_flat(s, d).select("id", "rating", F.col("ref").alias("themes"))),
     "score_agreement": lambda s, d: scoring.agreement(_ratings(s, d), "r1", "r2"),
+    "score_agreement_pooled": lambda s, d: scoring.pooled_agreement(_ratings(s, d), "r1", "r2"),
     "score_sentiment": _sentiment,
     "score_resampled": lambda s, d: _round(scoring.resampled_macro(_clustered(s, d), DRAWS, SEED)),
     "score_interval": lambda s, d: scoring.interval(scoring.resampled_macro(_clustered(s, d), DRAWS, SEED)),
@@ -199,7 +199,6 @@ QUERIES = {
     "order_release": _release,
     "order_latest": _events_latest,
     "profile_quantiles": _quantiles,
-    "profile_percentiles": _percentiles,
     "profile_distribution": lambda s, d: profile.distribution(table(s, d, "silver_reviews"), F.col("rating"), "rating"),
     "profile_shared_keys": lambda s, d: profile.shared_keys(table(s, d, "silver_reviews").select("review_id", "parent_asin", "rating", "title", "text", "helpful_vote", "verified_purchase")),
     "profile_digest": lambda s, d: profile.digest(table(s, d, "silver_reviews"), "review_id", "rating", "text"),
@@ -262,6 +261,10 @@ select label, items, "both", "first", "second", round(case when ch < 1 then (p -
   round(greatest(((p + {_Z * _Z / 2} / items) / (1 + {_Z * _Z} / items)) - {_Z} * sqrt(p * (1 - p) / items + {_Z * _Z / 4} / (items * items)) / (1 + {_Z * _Z} / items), 0), 9) low,
   round(least(((p + {_Z * _Z / 2} / items) / (1 + {_Z * _Z} / items)) + {_Z} * sqrt(p * (1 - p) / items + {_Z * _Z / 4} / (items * items)) / (1 + {_Z * _Z} / items), 1), 9) high
 from k""",
+    "score_agreement_pooled": f"""with r as (select doc_id id, rater, max(level) as label from reading_labels where level is not null and rater is not null group by 1, 2),
+j as (select a.label a, b.label b from r a join r b using (id) where a.rater = 'r1' and b.rater = 'r2'),
+z as (select count(*) n, count(*) filter (where a = b) e, (select count(distinct l) from (select unnest([a, b]) l from j)) ls from j)
+select n items, ls as labels, e equal_sets, n * ls decisions, n * ls - 2 * (n - e) agreed, round(((1 - ls) * 2 * n + n * ls * ls - 2 * ls * (n - e)) / ((1 - ls) * 2 * n + n * ls * ls), 9) kappa from z""",
     "score_sentiment": f"""with {FLAT}
 select case when rating > 3 then 'positive' else 'negative' end stars,
   case when list_contains(ref, 'praise') and not list_contains(ref, 'broken') then 'positive' when list_contains(ref, 'broken') and not list_contains(ref, 'praise') then 'negative' when len(ref) = 0 then 'none' else 'mixed' end said,
@@ -277,7 +280,7 @@ select pos, batch, ts_ms from b join k using (batch) where ts_ms < mark""",
     "order_release": f"""with {_POS}, l as (select event_id id, ts_ms + 7200000 target_ms from po order by sha256('late' || chr(31) || event_id) limit 50)
 select id, target_ms, (select min(pos) from po where ts_ms >= target_ms) pos from l""",
     "order_latest": "select user_id, ts, event_id, event_type from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1",
-    "profile_quantiles": "select round(avg(text_word_count), 6) mean, max(text_word_count)::double most from silver_reviews",
+    "profile_quantiles": "select quantile_disc(text_word_count, 0.5)::double p50, quantile_disc(text_word_count, 0.9)::double p90, quantile_disc(text_word_count, 0.99)::double p99, round(avg(text_word_count), 6) mean, max(text_word_count)::double most from silver_reviews",
     "profile_distribution": "select rating, count(*) as \"rows\", round(100 * count(*) / (select count(*) from silver_reviews), 2) as percent from silver_reviews group by 1",
     "profile_shared_keys": """with k as (select review_id, count(*) group_size, count(distinct parent_asin) products, count(distinct rating) r, count(distinct coalesce(title, chr(0))) t, count(distinct coalesce(text, chr(0))) x,
   count(distinct coalesce(helpful_vote::varchar, chr(0))) h, count(distinct coalesce(verified_purchase::varchar, chr(0))) v from silver_reviews group by 1 having count(*) > 1)
@@ -301,6 +304,17 @@ select parent_asin, ix, review_count, rating_sum, lowered, round(rating_sum - lo
 sm as (select parent_asin, {_MONTH("year(event_ts) * 12 + month(event_ts) - 1")} as month, count(*) review_count, sum(rating)::double rating_sum, count(*) filter (where rating <= 2) neg_count, count(*) filter (where verified_purchase) verified_count from f where rating > 1 group by 1, 2)
 select parent_asin, month, case when sm.review_count is null then 'only_batch' else 'differs' end kind, coalesce(sm.review_count, 0) - pm.review_count review_gap
 from pm left join sm using (parent_asin, month) where sm.review_count is distinct from pm.review_count""",
+    "answer_violations": f"""with {text.WINDOWED},
+rv as (select review_id, any_value(parent_asin) parent_asin, ix from (select *, year(event_ts) * 12 + month(event_ts) - 1 ix from silver_reviews) group by 1, 3),
+rt as (select parent_asin qid, win, review_id, ix, row_number() over (partition by parent_asin, win order by {text._DRAW("retrieve").replace(f"'{text.SEED}'", f"'{SEED}'")}, review_id) rk from rv join wi using (parent_asin) where ix between lo and hi qualify rk <= 3),
+hd as (select qid, 'R' || row_number() over (partition by qid order by win, rk, review_id) cite_id, win, ix from rt),
+qs as (select distinct parent_asin qid, ('0x' || substr(md5(parent_asin), 1, 4))::int % 8 k from wi),
+ci as (select qid, k, case when k = 1 then 'R99' else 'R1' end cite_id, case k when 0 then 'baseline' when 1 then 'recent' when 2 then 'recent' else 'other' end said from qs where k in (0, 1, 2, 3)),
+fw as (select ci.qid, hd.win shown, wi.lo, wi.hi, ix, said from ci left join hd using (qid, cite_id) left join wi on wi.parent_asin = ci.qid and wi.win = said)
+select qid question_id, 'terminal' as rule, 1 as times from qs where k = 7
+union all select qid, 'refusal_empty', case when k = 6 then 3 else 1 end from qs where k = 6
+union all select qid, 'claims_cite', 1 from qs where k in (0, 2, 4)
+union all select qid, case when shown is null then 'citations_retrieved' else 'citations_in_scope' end, 1 from fw where shown is null or not coalesce(shown = said and ix between lo and hi, false)""",
     "table_merged": "select parent_asin, case when rating_number > 10 then 0 else rating_number end rating_number, rating_number as before from products",
     "table_replaced_partitions": "select month, sum(case when month = '2022-01' then -1 else review_count end)::bigint reviews, count(*) as \"rows\" from product_month where month is not null group by 1",
 }

@@ -86,7 +86,7 @@ ORACLE = {
   sha256({_ENC("trim(user_id)")} || {_ENC("trim(parent_asin)")} || {_ENC("epoch_ms(event_ts)::varchar")}) computed_id
 from silver_reviews""",
     "silver_collisions": f"""with {CLASSED}
-select kafka_partition, kafka_offset, review_id, row_hash, group_size, collision_class, array_to_string(diff, ',') differing_fields, selection_rank,
+select kafka_partition, kafka_offset, review_id, row_hash, group_size, collision_class, array_to_string(diff, ',') differing_fields, case when selection_rank <= 2 then selection_rank end selection_rank,
   case when group_size = 1 then 'only_row' when collision_class = 'unresolvable' then 'no_survivor' when selection_rank > 1 then 'not_selected'
        when collision_class = 'exact' then 'exact_duplicate' when helpful_vote is distinct from nv then 'highest_helpful_vote'
        when size <> ns then 'longest_text' else 'lowest_canonical_hash' end selection_reason,

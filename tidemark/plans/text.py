@@ -29,7 +29,8 @@ def _mined(s, d):
 
 
 def _mined_query(s, d):
-    return _mined(s, d)[1].withColumn("odds", F.round("odds", 6)).drop("rank")
+    # a term that no other theme holds has no finite odds: null here
+    return _mined(s, d)[1].withColumn("odds", F.when(F.col("odds") < float("inf"), F.round("odds", 6))).drop("rank")
 
 
 def _matched(s, d):
@@ -254,7 +255,7 @@ QUERIES = {
     "search_norm_audit": _norm_audit,
 }
 
-_STOP = "[" + ", ".join(f"'{w}'" for w in terms.STOPWORDS) + "]"
+_STOP = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in terms.STOPWORDS) + "]"
 _TOK = lambda c: f"regexp_extract_all(lower(replace(coalesce({c}, ''), '’', '''')), '[a-z0-9]+(?:''[a-z]+)?')"
 TERMS = f"""
 tk as (select doc_id, {_TOK("text")} w from documents),
@@ -265,11 +266,12 @@ dt as (select distinct doc_id, term from (
 MINED = f"""{TERMS},
 th as (select doc_id, source theme from documents where source is not null),
 bt as (select term, theme, count(*) in_theme from dt join th using (doc_id) group by 1, 2),
-sc as (select bt.*, (in_theme / theme_docs) / ((sum(in_theme) over (partition by term) - in_theme + 0.5) / ((select count(*) from th) - theme_docs + 0.5)) odds
+sc as (select bt.*, case when sum(in_theme) over (partition by term) > in_theme
+              then (in_theme / theme_docs) / ((sum(in_theme) over (partition by term) - in_theme) / ((select count(*) from th) - theme_docs)) else 'inf'::double end odds
        from bt join (select theme, count(*) theme_docs from th group by 1) using (theme)),
 ow as (select * from sc join (select term, count(*) documents from dt group by 1) using (term)
        where documents <= (select count(*) from documents) * 0.1 and in_theme >= 2 and odds >= 3
-       qualify row_number() over (partition by term order by odds desc, theme) = 1),
+       qualify row_number() over (partition by term order by odds desc, theme desc) = 1),
 mi as (select * from ow qualify row_number() over (partition by theme order by odds desc, in_theme desc, term) <= 120)"""
 _HIT = lambda ts: " + ".join(f"regexp_matches(t, '(^|[^a-z0-9]){w}($|[^a-z0-9])')::int" for w in ts)
 SCANNED = f"""
@@ -326,7 +328,7 @@ _COHORT = "review_id in (select review_id from em)"
 ORACLE = {
     "text_document_terms": f"with {TERMS} select * from dt",
     "text_term_frequency": f"with {TERMS} select term, count(*) documents from dt group by 1",
-    "text_mined_terms": f"with {MINED} select theme, term, in_theme, round(odds, 6) odds from mi",
+    "text_mined_terms": f"with {MINED} select theme, term, in_theme, case when not isinf(odds) then round(odds, 6) end odds from mi",
     "text_matched_terms": f"with {MINED} select doc_id, theme, count(*) terms from dt join (select term, theme from mi) using (term) group by 1, 2",
     "text_term_scan": f"with {SCANNED} select kafka_partition, kafka_offset, damage_terms, service_terms from sc",
     "text_window_matches": f"with {WINDOWED} select parent_asin, win as \"window\", reviews, damage_terms, service_terms, enough from pf",
