@@ -1,7 +1,9 @@
 """Leaks against brute force, tiling by hand, normalisation, and odd tables."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 
 from tidemark.llm import leakage as L
@@ -70,6 +72,12 @@ def test_many_seeds_take_the_other_way(spark, monkeypatch):
     text = " ".join(f"v{i}" for i in range(30))
     d, i = frames(spark, [(1, "start " + text), (2, "nothing")], [(7, text)])
     assert [(r.doc_id, r.item_id, r.longest, r.covered) for r in L.leaks(d, i).collect()] == [(1, 7, 30, 30)]
+    rng = random.Random(6)
+    vocab = [f"w{k}" for k in range(25)]
+    items = [(k, " ".join(rng.choices(vocab, k=rng.randint(0, 25)))) for k in range(20)]
+    docs = [(k, " ".join(rng.choices(vocab, k=20)) + " " + items[rng.randrange(20)][1]) for k in range(40)]
+    d, i = frames(spark, docs, items)
+    assert {(r.doc_id, r.item_id) for r in L.leaks(d, i).collect()} == brute(docs, items)
 
 
 def test_reordered_passage_is_found_by_coverage(spark):
@@ -107,3 +115,41 @@ def test_coverage_filter_loses_no_pair(spark):
 def test_empty_tables(spark):
     d, i = frames(spark, [(1, "a " * 20)], [(1, "a " * 20)])
     assert L.leaks(d.limit(0), i).count() == 0 and L.leaks(d, i.limit(0)).count() == 0
+
+
+def slow_tiles(a, b, least):
+    """Greedy tiling by its definition: the longest free match of all, the first of equals, again and again."""
+    ua, ub, out = [False] * len(a), [False] * len(b), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                k = 0
+                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and not (ua[i + k] or ub[j + k]):
+                    k += 1
+                if k > best[2]:
+                    best = (i, j, k)
+        i, j, k = best
+        if k < least:
+            return out
+        ua[i : i + k], ub[j : j + k] = [True] * k, [True] * k
+        out.append(best)
+
+
+def test_tiles_equal_their_definition():
+    rng = random.Random(8)
+    for _ in range(150):
+        a, b = (rng.choices("xyz" if rng.random() < 0.5 else "pqrstuvw", k=rng.randint(0, 25)) for _ in range(2))
+        ha, hb = (np.array([hash(tuple(t[i : i + 2])) for i in range(len(t) - 1)], np.int64) for t in (a, b))
+        got, want = L.tiles(a, b, 2, L.starts(ha, hb)), slow_tiles(a, b, 2)
+        assert [k for _, _, k in got] == [k for _, _, k in want] or sum(k for _, _, k in got) == sum(k for _, _, k in want)
+        assert (got[0][2] if got else 0) == (want[0][2] if want else 0)
+
+
+def test_repetitive_texts_have_few_seeds():
+    began = time.perf_counter()
+    a, b = ["w"] * 3000, ["w"] * 2500
+    h = L.running(np.full(3000, 7, np.uint64), 10), L.running(np.full(2500, 7, np.uint64), 10)
+    pairs = L.starts(*h)
+    assert len(pairs) == len(h[0]) + len(h[1]) - 1
+    assert L.tiles(a, b, 10, pairs) == [(0, 0, 2500)] and time.perf_counter() - began < 2

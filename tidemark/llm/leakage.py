@@ -9,9 +9,13 @@ remains.  Tiles are compared word by word, so a hash collision can't report.
 The share of an item that its tiles cover shows passages that were reordered.
 
 Documents are never compared with each other and their words are never
-shuffled: seeds of the items are broadcast as one sorted array while they are
-few (``BROADCAST_SEEDS``, 8 bytes each, checked).  Beyond that, documents' seed
-positions are joined with the items' seeds by hash.
+shuffled before a pair is known: seeds of the items are broadcast as one sorted
+array of at most ``BROADCAST_SEEDS`` (8 bytes each); more of them take further
+rounds over the documents.
+
+Of seeds that continue each other on a diagonal only the first is kept, so
+texts that repeat a few words thousands of times have as many seeds as
+diagonals, not as pairs of positions.
 
 Words are runs of letters and digits after HTML character references are
 resolved, format characters are removed and NFKC and case folding applied.
@@ -34,13 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import shared_dir, ship
 
 #: Words of the shortest tile that is a leak by itself, and of the shortest tile that counts for coverage.
 LEAST, TILE = 10, 5
 #: Share of an item's words that tiles must cover where no tile of ``LEAST`` words exists.
 COVERAGE = 0.8
-#: Seeds that are broadcast at most; more are joined by hash.
+#: Seeds that are broadcast at once; more take further rounds.
 BROADCAST_SEEDS = 4_000_000
 
 _WORD = re.compile(r"[^\W_]+").findall
@@ -95,49 +99,66 @@ def running(codes: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
+def _agreeing(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
+    """How many words from ``a[i]`` and ``b[j]`` on agree."""
+    most, k, step = min(len(a) - i, len(b) - j), 0, 64
+    while k < most:
+        differ = a[i + k : i + min(most, k + step)] != b[j + k : j + min(most, k + step)]
+        at = int(differ.argmax())
+        if differ[at]:
+            return k + at
+        k, step = k + step, step * 2
+    return most
+
+
+def starts(ha: np.ndarray, hb: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of positions with equal hashes that don't continue such a pair one position before."""
+    _, code = np.unique(np.concatenate((ha, hb)), return_inverse=True)
+    ca, cb = code[: len(ha)], code[len(ha) :]
+
+    def by_code(c: np.ndarray, among: np.ndarray) -> dict[int, dict[int, list[int]]]:
+        before = np.concatenate(([-1], c[:-1]))
+        out: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for i in np.flatnonzero(np.isin(c, among)).tolist():
+            out[int(c[i])][int(before[i])].append(i)
+        return out
+
+    of_a, of_b = by_code(ca, cb), by_code(cb, ca)
+    return [(i, j) for h, left in of_a.items() for p, some in left.items() for q, other in of_b[h].items() if p != q or p < 0 for i in some for j in other]
+
+
 def tiles(a: list[str], b: list[str], least: int, seeds: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     """Greedy tiling of ``a`` and ``b``: (start in a, start in b, words), longest first.
 
     ``seeds`` are the pairs of positions whose windows of ``least`` words may
     agree; each maximal match begins at one.
     """
-    by_diagonal = defaultdict(list)
-    for i, j in seeds:
-        by_diagonal[i - j].append(i)
-    runs = []
-    for d, starts in by_diagonal.items():
-        stop = -1
-        for i in sorted(starts):
-            if i < stop:
-                continue
-            k, j = 0, i - d
-            while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
-                k += 1
+    number: dict[str, int] = {}
+    ca, cb = (np.array([number.setdefault(w, len(number)) for w in t], np.int64) for t in (a, b))
+    by_size: dict[int, list] = defaultdict(list)
+    at, stop = None, -1
+    for d, i in sorted((i - j, i) for i, j in seeds):
+        if d != at:
+            at, stop = d, -1
+        if i >= stop:
+            k = _agreeing(ca, cb, i, i - d)
             if k >= least:
-                runs.append((k, i, j))
+                by_size[k].append((i, i - d))
             stop = max(stop, i + k - least + 1)
-    used_a, used_b, out = bytearray(len(a)), bytearray(len(b)), []
-    runs.sort(key=lambda r: (-r[0], r[1], r[2]))
-    by_size: dict[int, list] = defaultdict(list)
-    for k, i, j in runs:
-        by_size[k].append((i, j))
+    used_a, used_b, out = np.zeros(len(a) + 1, bool), np.zeros(len(b) + 1, bool), []
     while by_size:
         k = max(by_size)
-        for i, j in by_size.pop(k):
+        for i, j in sorted(by_size.pop(k)):
             # parts that earlier tiles left free
-            free = [not (used_a[i + x] or used_b[j + x]) for x in range(k)]
-            if all(free):
-                used_a[i : i + k] = used_b[j : j + k] = b"\1" * k
+            taken = used_a[i : i + k] | used_b[j : j + k]
+            if not taken.any():
+                used_a[i : i + k] = used_b[j : j + k] = True
                 out.append((i, j, k))
                 continue
-            x = 0
-            while x < k:
-                y = x
-                while y < k and free[y]:
-                    y += 1
+            edge = np.flatnonzero(np.diff(np.concatenate(([True], taken, [True]))))
+            for x, y in zip(edge[0::2].tolist(), edge[1::2].tolist()):
                 if y - x >= least:
                     by_size[y - x].append((i + x, j + x))
-                x = y + 1
     return out
 
 
@@ -165,12 +186,12 @@ def item_seeds(worded: DataFrame, width: int) -> DataFrame:
     return worded.select("words").mapInPandas(run, "seed bigint").distinct()
 
 
-def _seeded(docs: DataFrame, doc_id: str, text: str, width: int, among=None) -> DataFrame:
+def _seeded(docs: DataFrame, doc_id: str, text: str, width: int, among) -> DataFrame:
     """(doc_id, words, seeds) of documents that share a seed with ``among``, a broadcast sorted array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
-        known = among.value if among is not None else None
+        known = among.value
         for b in batches:
             ids, kept, found = [], [], []
             for i, t in zip(b.column(0), b.column(1).to_pylist()):
@@ -178,10 +199,9 @@ def _seeded(docs: DataFrame, doc_id: str, text: str, width: int, among=None) ->
                 if len(w) < width:
                     continue
                 h = running(np.fromiter((codes[x] for x in w), np.uint64, len(w)), width).view(np.int64)
-                if known is not None:
-                    at = np.searchsorted(known, h)
-                    at[at == len(known)] = 0
-                    h = h[known[at] == h] if len(known) else h[:0]
+                at = np.searchsorted(known, h)
+                at[at == len(known)] = 0
+                h = h[known[at] == h] if len(known) else h[:0]
                 if len(h):
                     ids.append(i.as_py())
                     kept.append(w)
@@ -204,18 +224,18 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     """
     spark = docs.sparkSession
     shared_dir(spark)
+    ship(spark)
     width = least if coverage is None else min(tile, least)
     worded = item_words(items, item_id, text).dropDuplicates(["item_id", "words"])
-    seeds = item_seeds(worded, width)
-    few = seeds.limit(BROADCAST_SEEDS + 1).toPandas()["seed"].to_numpy(np.int64)  # at most 32 MB
-    if len(few) <= BROADCAST_SEEDS:
-        hit = _seeded(docs, doc_id, text, width, spark.sparkContext.broadcast(np.sort(few)))
-    else:
-        every = _seeded(docs, doc_id, text, width)
-        named = every.select("doc_id", F.xxhash64("words").alias("w"), F.explode("seeds").alias("seed")).join(seeds, "seed", "left_semi")
-        named = named.groupBy("doc_id", "w").agg(F.collect_set("seed").alias("seeds"))
-        hit = every.select("doc_id", "words", F.xxhash64("words").alias("w")).join(named, ["doc_id", "w"]).select("doc_id", "words", "seeds")
-    hit = hit.checkpoint()  # documents are read and hashed once
+    seeds = item_seeds(worded, width).checkpoint()
+    rounds = max(1, -(-seeds.count() // BROADCAST_SEEDS))
+    hit = None
+    for k in range(rounds):  # documents are read and hashed once a round; one that has seeds of several rounds comes in each
+        some = seeds if rounds == 1 else seeds.where(F.pmod(F.xxhash64("seed"), F.lit(rounds)) == k)
+        known = spark.sparkContext.broadcast(np.sort(some.toPandas()["seed"].to_numpy(np.int64)))
+        found = _seeded(docs, doc_id, text, width, known).checkpoint()
+        known.unpersist()
+        hit = found if hit is None else hit.unionByName(found)
     # candidate pairs by shared seed; both sides carry their words only once the pair is known
     doc_seeds = hit.select("doc_id", F.xxhash64("words").alias("w"), F.explode("seeds").alias("seed")).distinct()
     by_seed = seed_items(worded, width)
@@ -264,12 +284,8 @@ def _tile(sides: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             rows = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                ha = running(np.fromiter((codes[x] for x in a), np.uint64, len(a)), width)
-                where = defaultdict(list)
-                for j, h in enumerate(running(np.fromiter((codes[x] for x in b), np.uint64, len(b)), width).tolist()):
-                    where[h].append(j)
-                shared = np.flatnonzero(np.isin(ha, np.fromiter(where, np.uint64, len(where)))).tolist()
-                t = tiles(a, b, width, [(i, j) for i in shared for j in where[int(ha[i])]])
+                ha, hb = (running(np.fromiter((codes[x] for x in t), np.uint64, len(t)), width) for t in (a, b))
+                t = tiles(a, b, width, starts(ha, hb))
                 rows.append((t[0][2] if t else 0, sum(x[2] for x in t), len(b), len(t)))
             cols = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
