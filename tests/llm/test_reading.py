@@ -85,3 +85,28 @@ def test_rated_documents_are_english_whatever_lang_says(spark, langs):
     ratings = spark.createDataFrame([(i, "r1", i % 4 + 1) for i in range(40)], "doc_id bigint, rater string, level int")
     found = {r.doc_id for r in R.demanding(d, ratings).collect()}
     assert found and found <= set(range(3, 40, 4))
+
+
+def test_every_language_has_a_class(spark):
+    rng = random.Random(2)
+    # fifteen languages of words of their own, two of them rare, and rated English
+    words = {f"{c}{d}": [f"{c}{d}{x}{y}" for x in "aeiou" for y in "lmnrst"] for c, d in zip("bcdfghjklmnpqrs", "aeiouaeiouaeiou")}
+    docs, i = [], 1000
+    for k, (lang, bank) in enumerate(words.items()):
+        for _ in range(3 if k < 2 else 40):
+            docs.append((i, ". ".join(" ".join(rng.choices(bank, k=6)) for _ in range(4)) + ".", lang))
+            i += 1
+    easy, labels = made(90)
+    docs += [x for x in easy if x[2] == "en" and x[0] % 3 < 2]
+    d, l = frames(spark, docs, labels)
+    got = {r.doc_id: r.english for r in R.levels(d, l).collect()}
+    assert all(got[x] < 0.5 for x in got if x >= 1000) and all(got[x] >= 0.5 for x in got if x < 1000)
+
+
+def test_fit_of_parts_is_as_good_as_of_all(monkeypatch):
+    docs, labels = made(240)
+    rows = [t for i, t, _ in docs if i % 3 < 2]
+    target = np.eye(4)[[(0, 3)[i % 3] for i, _, _ in docs if i % 3 < 2]]
+    monkeypatch.setattr(R, "TURN", 3)
+    model = R.Model(*R.fit_levels(rows, target), None, 0)
+    assert np.mean([a == 1 + int(t.argmax()) for a, t in zip(model.classify(rows)[0], target)]) > 0.97

@@ -9,9 +9,12 @@ models hadn't seen (two folds).  A model of the same kind tells the language,
 so that the ``lang`` column, which is often wrong, only serves as a noisy label.
 
 Fitting uses bounded samples (``LABELLED`` rated documents, ``PER_LANGUAGE``
-documents of each of ``LANGUAGES`` languages, none longer than ``FIT_CHARS``),
-chosen by the hash of doc_id; as many rated documents again stand for English.  Every document is classified, whole.  Weights
-are broadcast; their size is fixed by ``BUCKETS``.
+documents of each language class, none longer than ``FIT_CHARS``), chosen by the
+hash of doc_id; as many rated documents again stand for English.  A language has
+a class of its own if ``SHARE`` of the documents name it; all rarer ones
+together are one class, so every language has one.  Every document is
+classified, whole.  Weights are broadcast; their size is fixed by ``BUCKETS``
+and the number of classes.
 
 A document rated several times trains with the share of each level; repeated
 rows count once, null levels not at all.  Null, empty and blank texts have no
@@ -32,12 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 LEVELS = 4
-#: Rated documents, documents per language, languages and characters of a document used for fitting, at most.
-LABELLED, PER_LANGUAGE, LANGUAGES, FIT_CHARS = 3000, 300, 12, 20_000
+#: Rated documents, documents per language class, and characters of a document used for fitting, at most.
+LABELLED, PER_LANGUAGE, FIT_CHARS = 3000, 300, 20_000
+#: Share of the documents with a language that makes a class of its own; 1 / SHARE classes at most.
+SHARE = 0.005
 #: Feature buckets of each sentence model.
 BUCKETS = 1 << 16
-PENALTY, STEPS = 2e-4, 70
+#: Weight of the L2 penalty, steps of the fit, sentences of a step about, and steps that see every sentence once at most.
+PENALTY, STEPS, TURN, PARTS = 2e-4, 72, 2000, 8
 
 _TAG = re.compile(r"<[^<>]{1,300}>")
 _LINE = re.compile(r"[ \t]*\n[ \t]*(?:[>#*+\-•][>#*+\- \t]*)?")
@@ -151,18 +159,31 @@ class Linear:
         return np.log(softmax(_sums(self.weights, f) + self.bias) + 1e-9)
 
 
+def _part(f: Features, rows: np.ndarray) -> Features:
+    """The features of some sentences."""
+    size = np.diff(np.append(f.start, len(f.bucket)))[rows]
+    start = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
+    at = np.arange(size.sum()) - np.repeat(start, size) + np.repeat(f.start[rows], size)
+    return Features(f.bucket[at], start, f.count[rows])
+
+
 def fit(f: Features, target: np.ndarray, weight: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> Linear:
-    """Full-batch Adam on weighted cross-entropy with an L2 penalty."""
+    """Adam on weighted cross-entropy with an L2 penalty; each step sees one of up to ``PARTS`` drawn parts of the sentences."""
     classes = target.shape[1]
     w = np.zeros((BUCKETS + 1, classes), np.float32)
     b = np.log(np.maximum((target * weight[:, None]).sum(0) / weight.sum(), 1e-4)).astype(np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
-    owner = np.repeat(np.arange(len(f.count)), np.diff(np.append(f.start, len(f.bucket))))
-    root = np.sqrt(np.maximum(f.count, 1))
+    drawn = np.random.default_rng(len(target)).permutation(len(target))
+    parts = []
+    for rows in np.array_split(drawn, max(1, min(PARTS, len(target) // TURN))):
+        p = _part(f, rows)
+        owner = np.repeat(np.arange(len(rows)), np.diff(np.append(p.start, len(p.bucket))))
+        parts.append((p, target[rows], (weight[rows] / weight[rows].sum())[:, None], np.sqrt(np.maximum(p.count, 1)), owner))
     for t in range(1, steps + 1):
-        err = (softmax(_sums(w, f) + b) - target) * (weight / weight.sum())[:, None]
+        p, goal, share, root, owner = parts[t % len(parts)]
+        err = (softmax(_sums(w, p) + b) - goal) * share
         scaled = (err / root[:, None])[owner]
-        g = np.stack([np.bincount(f.bucket, weights=scaled[:, c], minlength=BUCKETS + 1) for c in range(classes)], 1).astype(np.float32)
+        g = np.stack([np.bincount(p.bucket, weights=scaled[:, c], minlength=BUCKETS + 1) for c in range(classes)], 1).astype(np.float32)
         g += penalty * w / max(1, classes)
         g[BUCKETS] = 0
         m = 0.9 * m + 0.1 * g
@@ -244,29 +265,31 @@ def _pooled(which: np.ndarray, size: np.ndarray, target: np.ndarray, different:
     w = np.sqrt(size)
     weight = np.bincount(which, weights=w, minlength=different)
     mean = np.stack([np.bincount(which, weights=w * target[:, c], minlength=different) for c in range(target.shape[1])], 1)
-    return mean / weight[:, None], weight
+    return mean / np.maximum(weight, 1e-12)[:, None], weight
 
 
 def fit_levels(texts: list[str], target: np.ndarray) -> tuple[Linear, Linear, np.ndarray]:
     """Sentence models on all documents; calibration on profiles from two folds."""
-
-    def both(rows: np.ndarray) -> tuple[Linear, Linear]:
-        different, which, owner, size = _split([texts[i] for i in rows])
-        fc, fw = features(different)
-        pooled = _pooled(which, size, target[rows][owner], len(different))
-        return fit(fc, *pooled), fit(fw, *pooled)
-
-    def profiles(models: tuple[Linear, Linear], rows: np.ndarray) -> np.ndarray:
-        different, which, owner, size = _split([texts[i] for i in rows])
-        fc, fw = features(different)
-        return profile((models[0].log_p(fc) + models[1].log_p(fw))[which], owner, size, len(rows))
-
-    every = np.arange(len(texts))
-    drawn = np.random.default_rng(len(texts)).permutation(every)  # a pattern in the order of rows must not split the levels
-    folds = [np.sort(drawn[0::2]), np.sort(drawn[1::2])]
+    different, which, owner, size = _split(texts)
+    fc, fw = features(different)
+
+    def both(docs: np.ndarray) -> tuple[Linear, Linear]:
+        mine = docs[owner]  # sentences of these documents
+        pooled, weight = _pooled(which[mine], size[mine], target[owner[mine]], len(different))
+        rows = np.flatnonzero(weight > 0)
+        return tuple(fit(_part(f, rows), pooled[rows], weight[rows]) for f in (fc, fw))
+
+    def profiles(models: tuple[Linear, Linear], docs: np.ndarray) -> np.ndarray:
+        mine = docs[owner]
+        place = np.cumsum(docs) - 1
+        return profile((models[0].log_p(fc) + models[1].log_p(fw))[which[mine]], place[owner[mine]], size[mine], int(docs.sum()))
+
+    every = np.ones(len(texts), bool)
+    fold = np.zeros(len(texts), bool)
+    fold[np.random.default_rng(len(texts)).permutation(len(texts))[0::2]] = True  # a pattern in the order of rows must not split the levels
     x = np.zeros((len(texts), 4 * LEVELS + 1))
-    for a, b in (folds, folds[::-1]):
-        if len(a) and len(b):
+    for a, b in ((fold, ~fold), (~fold, fold)):
+        if a.any() and b.any():
             x[b] = profiles(both(a), b)
     chars, words = both(every)
     return chars, words, fit_small(x, target)
@@ -288,13 +311,17 @@ def fit_language(texts: list[str], which: np.ndarray, classes: int) -> Linear |
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on the bounded samples, which two scans collect to the driver.
+    """Fit on the bounded samples, which one scan of the texts collects to the driver.
 
     Rated documents are English even where no ``lang`` says so.  Without another
-    language every document counts as English.  Languages beyond the most
-    frequent ``LANGUAGES`` have no class of their own.
+    language every document counts as English.
     """
-    spark_docs = docs.select("doc_id", "text", "lang").where(F.length("text").between(1, FIT_CHARS))
+    named = F.substring(F.lower(F.trim("lang")), 1, 2)
+    counts = docs.select(named.alias("lang")).where("lang <> ''").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    every = counts.agg(F.sum("n")).scalar()
+    own = (F.col("n") >= SHARE * every) | (F.col("lang") == "en")
+    # rarer languages together are the class "*"
+    found = counts.groupBy(F.when(own, F.col("lang")).otherwise("*").alias("lang")).agg(F.sum("n").alias("n")).orderBy("lang").collect()
     order = F.xxhash64(F.col("doc_id"), F.lit(7))
     rated = (
         labels.where("level between 1 and 4 and doc_id is not null")
@@ -305,20 +332,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         .orderBy(order, "doc_id")
         .limit(LABELLED)
     )
-    rows = sorted(rated.join(spark_docs.select("doc_id", "text"), "doc_id").collect(), key=lambda r: r.doc_id)
-    rows = [r for r in rows if sentences(r.text)]
-    lang = F.substring(F.lower(F.trim("lang")), 1, 2)
-    found = docs.select(lang.alias("lang")).where("lang <> ''").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    common = [r.lang for r in found]
-    if rows and "en" not in common:
-        common.append("en")
-    # a threshold on the hash leaves about four times PER_LANGUAGE documents of each, so that ranks move few texts
-    drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(2**32))
+    # a threshold on the hash leaves about four times PER_LANGUAGE documents of each class, so that ranks move few texts
+    drawn = F.pmod(order, F.lit(2**32))
     cut = F.coalesce(*(F.when(F.col("lang") == r.lang, F.lit(int(min(1.0, 4 * PER_LANGUAGE / r.n) * 2**32))) for r in found), F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "doc_id"))
-    named = spark_docs.select("doc_id", "text", lang.alias("lang"), drawn.alias("drawn")).where(F.col("drawn") < cut)
-    sample = named.withColumn("rank", rank).where(F.col("rank") <= PER_LANGUAGE).collect()
-    sample.sort(key=lambda r: (r.lang, r.drawn, r.doc_id))
+    kept = [r.lang for r in found]
+    rare = F.when(named == "", F.lit(None)).when(named.isin(kept), named).when(named.isNotNull(), F.lit("*"))
+    texts = docs.where(F.length("text").between(1, FIT_CHARS)).select("doc_id", "text", rare.alias("lang"), drawn.alias("drawn"))
+    picked = texts.join(F.broadcast(rated), "doc_id", "left").where((F.col("drawn") < cut) | F.col("n1").isNotNull())  # at most LABELLED rows
+    rank = F.row_number().over(Window.partitionBy("lang", F.col("drawn") < cut).orderBy("drawn", "doc_id"))
+    picked = picked.withColumn("rank", F.when(F.col("drawn") < cut, rank)).where((F.col("rank") <= PER_LANGUAGE) | F.col("n1").isNotNull()).collect()
+    rows = sorted((r for r in picked if r.n1 is not None and sentences(r.text)), key=lambda r: r.doc_id)
+    sample = sorted((r for r in picked if r.lang is not None and r["rank"] is not None and r["rank"] <= PER_LANGUAGE), key=lambda r: (r.lang, r.drawn, r.doc_id))
+    common = sorted({r.lang for r in sample} | ({"en"} if rows else set()))
     texts = [r.text for r in sample]
     which = [common.index(r.lang) for r in sample]
     if "en" in common:  # rated documents are English: some of each level show the language's whole range
@@ -339,6 +364,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 def levels(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, level, english, p1..p4) of every document; ``english`` is its odds against the likeliest other language, as a share."""
+    ship(docs.sparkSession)
     model = model or train(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
