@@ -42,7 +42,7 @@ from ..session import scratch, shared_dir, ship
 #: Vectors of a list, lists that hold a vector at most, and how much farther than the nearest centroid theirs may be.
 LIST, REPLICAS, RATIO = 1000, 4, 0.12
 #: Lists of a cell, vectors routed at once, and vectors that centroids are fitted on: for each, and for a cell at most.
-FAN, GROUP, PER_LIST, SAMPLE = 256, 16_384, 48, 50_000
+FAN, GROUP, PER_LIST, SAMPLE = 128, 1024, 48, 50_000
 #: A list is split when it drew more than this times its share of the sample.
 SLACK = 2.0
 #: Vectors compared at once inside a list, and the size from which a list is divided again.
