@@ -185,3 +185,22 @@ def test_versions_share_parts_and_conflicts_are_refused(spark, monkeypatch):
     assert t.current() == 3 and [r.version for r in t.snapshots().orderBy("version").collect()] == [1, 2, 3]
     assert spark.sql(f"select sum(v) s from {t.view('parted', 1)}").first().s == 10 and t.refs().count() == 4
     assert t.expire(1) == [1, 2] and t.versions() == [3] and t.read().count() == 5
+
+
+def test_out_of_order_batches_retract_what_was_past_the_cutoff(spark):
+    t = datetime(2020, 1, 15)
+    # the log brings the late copy first, the timely one two batches later
+    ev = [("back", t, 5, 0, 1), ("back", t, 4, 0, 90), ("late", t, 3, 0, 2), ("late", t, 2, 0, 91), ("mid", t, 1, 0, 50)]
+    de = [(0, 1, datetime(2020, 9, 1)), (0, 90, datetime(2020, 1, 20)), (0, 2, datetime(2020, 9, 1)), (0, 91, datetime(2020, 8, 1)), (0, 50, datetime(2020, 1, 16))]
+    a = late.arrivals(spark.createDataFrame([(*x, 0) for x in ev], EVENTS), spark.createDataFrame([(*x, 0) for x in de], DELIVERIES))
+    root = scratch(spark, "state")
+    d = [(r.version, r.review_id, r.status, r.rating, r["diff"]) for r in late.feed(a, root, batches=3).orderBy("version", "review_id", "diff").collect()]
+    assert ("back", "past_cutoff", 1) in {(i, s, x) for v, i, s, _, x in d if v == 1}
+    assert {(i, s, r, x) for v, i, s, r, x in d if v > 1 and i == "back"} == {("back", "past_cutoff", 5, -1), ("back", "accepted", 4, 1)}
+    table = VersionedTable(spark, root)
+    assert {r.review_id: r.now.status for r in table.read().collect()} == {"back": "accepted", "late": "past_cutoff", "mid": "accepted"}
+    assert table.read(1).where("review_id = 'back'").first().now.status == "past_cutoff"
+    e = spark.createDataFrame([(*x, 0) for x in ev], EVENTS)
+    r = spark.createDataFrame([(*x, 0) for x in de], DELIVERIES)
+    for n in (1, 2, 5):
+        assert [x.review_id for x in late.past_cutoff(e, r, batches=n).collect()] == ["late"]

@@ -1,14 +1,20 @@
 """Late and out-of-order events, corrected by retraction (problem 4).
 
-State is keyed by review and versioned by arrival day.  Each version of a
-review emits a negative delta for what it replaces and a positive one for what
-it brings; the sum of deltas up to a version is the figure as known then.
-Arrivals at or after the cut-off change nothing: a review whose first arrival
-lies there is past the cut-off.
+State is keyed by review: its last arrival before the cut-off, its last one at
+or after it, and what follows from them, the month and rating that count or
+``past_cutoff``.  Both arrivals merge by maximum, so batches may come in any
+order.  A batch that changes what a review stands for emits a negative delta for
+the old and a positive one for the new; sums of deltas are the figures as known
+after each batch, and a review first seen past the cut-off is retracted from
+``past_cutoff`` when an earlier arrival turns up later.
+
+The state is a versioned table in buckets of reviews.  A batch replaces the
+buckets that it touches in one commit, each row tells the version that changed
+it and what it stood for before, and so every version carries its deltas.
 
 Messages are first reduced to their earliest arrival, then to one row per
-review and day, both with map-side combining, so a review that holds a third
-of all deliveries reaches the window with at most one row per day.
+review and batch, both with map-side combining, so a review that holds a third
+of all deliveries costs one row a task.
 """
 
 from __future__ import annotations
@@ -16,8 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import discard, scratch
+from ..sources.versioned import VersionedTable
+
 #: Days after the end of the month of an event until which it still counts.
 CUTOFF_DAYS = 30
+#: Parts of the state, and batches that a whole table is fed in.
+BUCKETS, BATCHES = 8, 3
 
 
 def cutoff(event_ts: Column, days: int = CUTOFF_DAYS) -> Column:
@@ -90,9 +101,78 @@ def deltas(versioned: DataFrame) -> DataFrame:
     return rows.select("review_id", "version", F.explode(change).alias("d")).select("review_id", "version", "d.*")
 
 
-def past_cutoff(events: DataFrame, received: DataFrame, days: int = CUTOFF_DAYS) -> DataFrame:
-    """Reviews whose earliest arrival lies at or past the cut-off: the consolidated deltas of that status."""
-    d = deltas(versions(arrivals(events, received), days)).where("status = 'past_cutoff'")
+def _stands_for(accepted: Column, past: Column) -> Column:
+    """What a review counts as, from its last arrivals on both sides of the cut-off."""
+    month = lambda c: F.trunc(c["event_ts"], "month")
+    what = lambda status, c: F.struct(F.lit(status).alias("status"), month(c).alias("event_month"), c["rating"].cast("long").alias("rating"))
+    return F.when(accepted.isNotNull(), what("accepted", accepted)).otherwise(what("past_cutoff", past))
+
+
+def advance(table: VersionedTable, batch: DataFrame, run_id: str, days: int = CUTOFF_DAYS) -> int:
+    """Merge one batch of ``arrivals`` into the state; the new version is returned, and ``changes`` reads its deltas."""
+    row = F.struct("arrival", "kafka_offset", "kafka_partition", F.col("rating").alias("rating"), "event_ts")
+    past = F.col("arrival") >= cutoff(F.col("event_ts"), days)
+    bucket = F.pmod(F.xxhash64("review_id"), F.lit(BUCKETS)).cast("int")
+    fresh = batch.groupBy("review_id").agg(F.max(F.when(~past, row)).alias("accepted"), F.max(F.when(past, row)).alias("past"))
+    version = (table.current() or 0) + 1
+    if version == 1:
+        now = _stands_for(F.col("accepted"), F.col("past"))
+        state = fresh.select(bucket.alias("bucket"), "review_id", "accepted", "past", now.alias("now"), F.lit(None).cast(_NOW).alias("old"), F.lit(1).alias("changed"))
+        return table.write(state, run_id, "bucket")
+    touched = [str(r[0]) for r in batch.select(bucket).distinct().collect()]
+    before = table.read(only=touched).select("review_id", F.struct("accepted", "past", "now", "old", "changed").alias("b"))
+    j = fresh.join(before, "review_id", "full_outer").select(
+        "review_id", "b", F.greatest("accepted", "b.accepted").alias("accepted"), F.greatest("past", "b.past").alias("past")
+    )
+    j = j.withColumn("now", _stands_for(F.col("accepted"), F.col("past")))
+    same = F.col("now").eqNullSafe(F.col("b.now"))
+    state = j.select(
+        bucket.alias("bucket"), "review_id", "accepted", "past", "now",
+        F.when(same, F.col("b.old")).otherwise(F.col("b.now")).alias("old"), F.when(same, F.col("b.changed")).otherwise(F.lit(version)).alias("changed"),
+    )
+    return table.revise(run_id, swap=state)
+
+
+_NOW = "struct<status:string,event_month:date,rating:bigint>"
+
+
+def changes(table: VersionedTable, version: int) -> DataFrame:
+    """Signed deltas of one version: (version, review_id, status, event_month, rating, diff)."""
+    rows = table.read(version).where(F.col("changed") == version)
+    d = F.struct(F.col("now.status"), F.col("now.event_month"), F.col("now.rating"), F.lit(1).alias("diff")), F.struct(F.col("old.status"), F.col("old.event_month"), F.col("old.rating"), F.lit(-1).alias("diff"))
+    signed = F.when(F.col("old").isNull(), F.array(d[0])).otherwise(F.array(*d))
+    return rows.select(F.lit(version).alias("version"), "review_id", F.explode(signed).alias("d")).select("version", "review_id", "d.*")
+
+
+def feed(arrived: DataFrame, root: str, days: int = CUTOFF_DAYS, batches: int = BATCHES, order: str = "kafka_offset") -> DataFrame:
+    """All deltas after feeding ``arrivals`` to the state under ``root`` in ``batches`` by ``order``.
+
+    By the log's own order (``kafka_offset``) arrivals come out of order, so
+    later batches correct earlier ones.
+    """
+    spark = arrived.sparkSession
+    # arrivals are joined once and read by batch
+    where = scratch(spark, "arrived")
+    arrived.write.option("compression", "zstd").parquet(where)
+    rows = spark.read.parquet(where)
+    at = F.unix_micros(F.col(order).cast("timestamp")) if dict(rows.dtypes)[order].startswith("timestamp") else F.col(order)
+    cuts = rows.agg(F.percentile_approx(at, [i / batches for i in range(1, batches)])).first()[0] if batches > 1 else []
+    cuts = sorted(set(cuts or []))
+    table = VersionedTable(spark, root)
+    first = (table.current() or 0) + 1
+    number = sum(((at > F.lit(c)).cast("int") for c in cuts), F.lit(0))
+    for k in range(len(cuts) + 1):
+        advance(table, rows.where(number == k), f"batch-{first + k}", days)
+    discard(where)
+    every = changes(table, first)
+    for v in range(first + 1, first + len(cuts) + 1):
+        every = every.unionByName(changes(table, v))
+    return every
+
+
+def past_cutoff(events: DataFrame, received: DataFrame, days: int = CUTOFF_DAYS, batches: int = BATCHES) -> DataFrame:
+    """Reviews whose earliest arrival lies at or past the cut-off: what the deltas of that status leave."""
+    d = feed(arrivals(events, received), scratch(events.sparkSession, "late"), days, batches).where("status = 'past_cutoff'")
     return d.groupBy("review_id").agg(F.sum("diff").alias("n")).where("n > 0").select("review_id")
 
 
@@ -108,37 +188,3 @@ def monthly_versions(events: DataFrame, received: DataFrame, days: int = CUTOFF_
     return net.select(
         "*", F.sum("reviews_delta").over(w).alias("reviews"), F.sum("rating_delta").over(w).alias("rating_sum")
     )
-
-
-def apply_batch(state: DataFrame, batch: DataFrame, days: int = CUTOFF_DAYS) -> tuple[DataFrame, DataFrame]:
-    """One micro-batch of arrivals against keyed state: (new state, deltas by event month).
-
-    ``state`` is (review_id, event_ts, rating, status); ``batch`` is what
-    ``arrivals`` returns.  Deltas are (event_month, reviews_delta,
-    rating_delta); summed over batches they equal ``monthly_versions``.
-    """
-    v = versions(batch, days)
-    accepted = v.where("not past").groupBy("review_id").agg(F.max(F.struct("version", "event_ts", "rating")).alias("n"))
-    past = v.where("past").groupBy("review_id").agg(F.max(F.struct("event_ts", "rating")).alias("p"))
-    j = (
-        state.select("review_id", F.struct("event_ts", "rating", "status").alias("o"))
-        .join(accepted, "review_id", "full_outer")
-        .join(past, "review_id", "full_outer")
-    )
-    fresh = F.col("n").isNotNull() & ((F.col("o.status") == "accepted") | F.col("o").isNull())
-    pick = lambda c: F.when(fresh, F.col(f"n.{c}")).when(F.col("o").isNotNull(), F.col(f"o.{c}")).otherwise(F.col(f"p.{c}"))
-    status = F.when(fresh, "accepted").otherwise(F.coalesce("o.status", F.lit("past_cutoff")))
-    after = j.select("review_id", pick("event_ts").alias("event_ts"), pick("rating").alias("rating"), status.alias("status"))
-    changed = j.where(fresh).select(
-        F.explode(
-            F.array(
-                F.struct(F.col("n.event_ts").alias("event_ts"), F.col("n.rating").alias("rating"), F.lit(1).alias("diff")),
-                F.when(F.col("o").isNotNull(), F.struct(F.col("o.event_ts").alias("event_ts"), F.col("o.rating").alias("rating"), F.lit(-1).alias("diff"))),
-            )
-        ).alias("d")
-    ).where("d is not null")
-    out = changed.groupBy(F.trunc("d.event_ts", "month").alias("event_month")).agg(
-        F.sum("d.diff").cast("long").alias("reviews_delta"),
-        F.coalesce(F.sum(F.col("d.rating") * F.col("d.diff")), F.lit(0)).cast("long").alias("rating_delta"),
-    )
-    return after, out

@@ -91,36 +91,48 @@ def run(reviews: DataFrame, files: int = 4) -> tuple[DataFrame, dict[str, int]]:
     return project(spark.read.option("basePath", out).parquet(out)), progress(q)
 
 
-def reconcile(stream: DataFrame, batch: DataFrame) -> DataFrame:
-    """Product months that differ: missing on a side or with other figures, and by how many reviews."""
-    s = stream.select("parent_asin", "month", F.struct(*ADDITIVE).alias("s"))
-    b = batch.select("parent_asin", "month", F.struct(*ADDITIVE).alias("b"))
-    j = s.join(b, ["parent_asin", "month"], "full_outer")
-    kind = F.when(F.col("s").isNull(), "only_batch").when(F.col("b").isNull(), "only_stream").when(F.col("s") != F.col("b"), "differs")
-    gap = F.coalesce(F.col("s.review_count"), F.lit(0)) - F.coalesce(F.col("b.review_count"), F.lit(0))
-    return j.select("parent_asin", "month", kind.alias("kind"), gap.alias("review_gap")).where("kind is not null")
+def reconcile(stream: DataFrame, batch: DataFrame, dropped: DataFrame | None = None) -> DataFrame:
+    """Product months that differ: (parent_asin, month, kind, review_gap, explained).
+
+    ``dropped`` holds the contributions of rows that the watermark is known to
+    have dropped.  A difference is explained if the stream plus those rows is
+    the batch in every figure; a month that only the batch has, if those rows
+    are the whole month.  ``only_stream`` months of products that the batch
+    doesn't have at all are ``unmaterialised``: it answers another question.
+    """
+    figures = lambda df, name: df.select("parent_asin", "month", F.struct(*ADDITIVE).alias(name))
+    j = figures(stream, "s").join(figures(batch, "b"), ["parent_asin", "month"], "full_outer")
+    j = j.join(figures(dropped, "x"), ["parent_asin", "month"], "full_outer") if dropped is not None else j.withColumn("x", F.lit(None).cast(f"struct<{','.join(f'{c}:double' for c in ADDITIVE)}>"))
+    known = batch.select("parent_asin", F.lit(True).alias("known")).distinct()
+    j = j.join(known, "parent_asin", "left")
+    kind = (
+        F.when(F.col("s").isNull() & F.col("b").isNull(), None)
+        .when(F.col("b").isNull(), F.when(F.col("known"), "only_stream").otherwise("unmaterialised"))
+        .when(F.col("s").isNull(), "only_batch")
+        .when(F.col("s") != F.col("b"), "differs")
+    )
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    sums = F.lit(True)
+    for c in ADDITIVE:
+        sums = sums & (zero(f"s.{c}") + zero(f"x.{c}") == zero(f"b.{c}"))
+    explained = F.col("x").isNotNull() & F.col("b").isNotNull() & sums
+    gap = zero("s.review_count") - zero("b.review_count")
+    return j.select("parent_asin", "month", kind.alias("kind"), gap.alias("review_gap"), explained.alias("explained")).where("kind is not null")
 
 
-def corrected(arrivals: DataFrame, days: int = late.CUTOFF_DAYS, versions: int = 3) -> DataFrame:
-    """Monthly figures after feeding arrivals in ``versions`` steps to the differential state.
+def reread(spark: SparkSession, source: str, schema) -> DataFrame:
+    """The files of a stream as one bounded batch, in full."""
+    return spark.read.schema(schema).parquet(source)
 
-    State is a table in the shared folder, replaced after every step.
-    """
+
+def shaped(rows: DataFrame, ingested_at) -> DataFrame:
+    """Records with one fixed arrival, so that a replay is judged alike whenever it runs."""
+    return rows.withColumn("ingested_at", F.lit(ingested_at).cast("timestamp"))
+
+
+def corrected(arrivals: DataFrame, days: int = late.CUTOFF_DAYS, versions: int = 3) -> DataFrame:
+    """Monthly figures after feeding arrivals in ``versions`` batches, by time of arrival, to the differential state."""
     spark = arrivals.sparkSession
-    cuts = arrivals.select(F.percentile_approx(F.unix_micros(F.col("arrival").cast("timestamp")), [i / versions for i in range(1, versions)]).alias("c")).first().c if versions > 1 else []
-    at = F.unix_micros(F.col("arrival").cast("timestamp"))
-    state = spark.createDataFrame([], "review_id string, event_ts timestamp_ntz, rating int, status string")
-    total = None
-    for i in range(versions):
-        part = arrivals
-        if i > 0:
-            part = part.where(at > cuts[i - 1])
-        if i < versions - 1:
-            part = part.where(at <= cuts[i])
-        state, delta = late.apply_batch(state, part, days)
-        path = scratch(spark, "late-state")
-        delta = delta.checkpoint()
-        state.write.parquet(path)
-        state = spark.read.parquet(path)
-        total = delta if total is None else total.unionByName(delta)
-    return total.groupBy("event_month").agg(F.sum("reviews_delta").alias("reviews"), F.sum("rating_delta").alias("rating_sum"))
+    d = late.feed(arrivals, scratch(spark, "late-state"), days, versions, "arrival").where("status = 'accepted'")
+    g = d.groupBy("event_month").agg(F.sum("diff").cast("long").alias("reviews"), F.coalesce(F.sum(F.col("rating") * F.col("diff")), F.lit(0)).cast("long").alias("rating_sum"))
+    return g.where("reviews <> 0 or rating_sum <> 0")
