@@ -96,3 +96,36 @@ def test_digest_ignores_order(spark):
     df = spark.range(50).withColumn("x", F.col("id") % 7)
     a, b = (profile.digest(d, "id", "x").first()[0] for d in (df, df.repartition(5).orderBy(F.desc("id"))))
     assert a == b != profile.digest(df.limit(49), "id", "x").first()[0]
+
+
+def test_injection_plan_refuses_what_cannot_land(spark):
+    from tidemark.operators import lateness as L
+
+    day = L.DAY_MS
+    rows = [(i, f"r{i}", i * day) for i in range(1200)]
+    pos = spark.createDataFrame(rows, "pos bigint, id string, ts_ms bigint")
+    held, order = L.plan(pos, L.Injection(5, 5, 40))
+    got = held.collect()
+    assert sorted(h.slice for h in got) == ["far"] * 5 + ["near"] * 5 and all(h.release_before == h.pos + (730 if h.slice == "far" else 7) for h in got)
+    sent = order.orderBy("slot").collect()
+    assert [r.slot for r in sent] == list(range(1200)) and len({r.id for r in sent}) == 1200
+    for h in got:
+        at = next(k for k, r in enumerate(sent) if r.id == h.id)
+        assert next(r for r in sent[at:] if r.slice is None).ts_ms == h.release_ms
+    told = {(r.slice, r.reason): r["rows"] for r in L.census(L.pools(pos.unionByName(spark.createDataFrame([(1200, "r0", 1200 * day)], pos.schema)), L.Injection(5, 5, 40))).collect()}
+    assert told["far", "key_collision"] == 2 and told["near", "release_past_end"] == 6 and told["far", "release_past_end"] == 729
+    with pytest.raises(L.PlanError, match="watermark_undecidable"):
+        L.plan(pos, L.Injection(5, 5, 400))
+    with pytest.raises(ValueError, match="delay"):
+        L.Injection(1, 1, 1, far_days=20)
+
+
+def test_reconciliation_explains_dropped_rows(spark):
+    cols = "parent_asin string, month string, review_count bigint, rating_sum double, neg_count bigint, verified_count bigint"
+    f = lambda rows: spark.createDataFrame(rows, cols)
+    batch = f([("A", "2020-01", 3, 9.0, 1, 1), ("A", "2020-02", 1, 5.0, 0, 0), ("A", "2020-03", 2, 4.0, 2, 0), ("A", "2020-04", 1, 1.0, 1, 0)])
+    stream = f([("A", "2020-01", 2, 5.0, 1, 1), ("A", "2020-03", 1, 3.0, 0, 0), ("A", "2020-09", 1, 1.0, 1, 0), ("B", "2020-01", 1, 1.0, 1, 0), ("A", "2020-04", 1, 1.0, 1, 0)])
+    dropped = f([("A", "2020-01", 1, 4.0, 0, 0), ("A", "2020-02", 1, 5.0, 0, 0), ("C", "2020-01", 1, 1.0, 1, 0)])
+    got = {(r.parent_asin, r.month): (r.kind, r.review_gap, r.explained) for r in P.reconcile(stream, batch, dropped).collect()}
+    assert got == {("A", "2020-01"): ("differs", -1, True), ("A", "2020-02"): ("only_batch", -1, True), ("A", "2020-03"): ("differs", -1, False), ("A", "2020-09"): ("only_stream", 1, False), ("B", "2020-01"): ("unmaterialised", 1, False)}
+    assert not any(r.explained for r in P.reconcile(stream, batch).collect())

@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from ..operators import calibration, citations, classifier, decline, late, ordering, profile, scoring, spine
+from ..operators import calibration, citations, classifier, decline, late, lateness, ordering, profile, scoring, spine
 from ..session import scratch, shared_dir
 from ..sources.tables import table
 from ..sources.versioned import VersionedTable
@@ -95,10 +95,31 @@ def _stream(s, d):
     return product_months.run(_stream_reviews(s, d))[0]
 
 
+def _injection(s, d):
+    """(held rows, send order, spec): a far slice that a 30 day watermark drops and a near one that it takes, over first copies."""
+    r = first_arrivals(s, d).select(F.col("review_id").alias("id"), F.unix_millis(F.col("event_ts").cast("timestamp")).alias("ts_ms"))
+    pos = ordering.numbered(r, "ts_ms", "id")
+    n = pos.count()
+    spec = lateness.Injection(max(1, n // 200), max(1, n // 200), max(1, n // 10))
+    return *lateness.plan(pos, spec), spec
+
+
+def _injection_plan(s, d):
+    return _injection(s, d)[0].withColumnRenamed("id", "review_id")
+
+
 def _stream_gap(s, d):
-    stream, _ = product_months.run(_stream_reviews(s, d).where("rating > 1"))
-    batch = product_months.project(product_months.contributions(first_arrivals(s, d)))
-    return product_months.reconcile(stream, batch)
+    """The stream with late rows against the batch: months that differ, and that the dropped rows explain them."""
+    held, order, spec = _injection(s, d)
+    rows = first_arrivals(s, d).withColumn("event_ts", F.col("event_ts").cast("timestamp")).select("review_id", "event_ts", "parent_asin", "rating", "verified_purchase")
+    sent = order.select(F.col("id").alias("review_id"), F.floor(F.col("slot") / F.lit(spec.batch)).cast("int").alias("batch"))
+    files = sent.agg(F.max("batch")).first()[0] + 1
+    stream, told = product_months.run(rows.join(sent, "review_id"), files, "batch")
+    if told["dropped"] != spec.far_rows:
+        raise RuntimeError(f"the stream dropped {told['dropped']} rows, the plan says {spec.far_rows}")
+    figures = lambda df: product_months.project(product_months.contributions(df))
+    far = held.where("slice = 'far'").select(F.col("id").alias("review_id"))
+    return product_months.reconcile(stream, figures(rows), figures(rows.join(far, "review_id", "left_semi")))
 
 
 def _late_stream(s, d):
@@ -210,6 +231,7 @@ QUERIES = {
     "calibrate_surveillance": lambda s, d: calibration.surveillance_months(decline.points(spine.spine(months(s, d)), RULE)),
     "stream_product_months": _stream,
     "stream_reconciled": _stream_gap,
+    "stream_injection_plan": _injection_plan,
     "stream_late_corrected": _late_stream,
     "table_merged": _merged_table,
     "table_replaced_partitions": _replaced_partitions,
@@ -245,6 +267,17 @@ ap as (select row_number() over (order by ingested_at, kafka_partition, kafka_of
 _Z = 1.959963984540054
 _PM = f"""{MONTHS}, pm as (select parent_asin, {_MONTH("ix")} as month, review_count, rating_sum, neg_count, verified_count from m)"""
 
+_HELD = """
+f as (select * from silver_reviews qualify row_number() over (partition by review_id order by kafka_partition, kafka_offset) = 1),
+ip as (select review_id, epoch_ms(event_ts) ts_ms, row_number() over (order by epoch_ms(event_ts), review_id) - 1 pos, count(*) over () n from f),
+iq as (select *, (select count(*) from ip b where b.ts_ms < a.ts_ms + 730 * 86400000::bigint) far_q, (select count(*) from ip b where b.ts_ms < a.ts_ms + 7 * 86400000::bigint) near_q from ip a),
+ig as (select iq.*, g.ts_ms guard_ms from iq left join ip g on g.pos = iq.far_q - 2 * greatest(1, iq.n // 10) - 4 * greatest(1, iq.n // 200)),
+fr as (select 'far' slice, review_id, pos, ts_ms, ts_ms + 730 * 86400000::bigint release_ms, far_q release_before from ig
+       where far_q < n and guard_ms - 30 * 86400000::bigint > ts_ms qualify row_number() over (order by sha256('42' || chr(31) || 'far' || chr(31) || review_id), review_id) <= greatest(1, n // 200)),
+nr as (select 'near' slice, review_id, pos, ts_ms, ts_ms + 7 * 86400000::bigint release_ms, near_q release_before from ig
+       where near_q < n and pos not in (select pos from fr) qualify row_number() over (order by sha256('42' || chr(31) || 'near' || chr(31) || review_id), review_id) <= greatest(1, n // 200)),
+held as (select * from fr union all select * from nr)"""
+
 ORACLE = {
     "score_by_theme": f"with {FLAT} select theme, tp, fp, fn, support, round(\"precision\", 9) \"precision\", round(recall, 9) recall, round(f1, 9) f1 from sf",
     "score_macro": f"with {FLAT} select count(*) themes, round(avg(f1), 9) macro_f1 from sf where support >= 10",
@@ -300,10 +333,10 @@ l as (select *, (run - coalesce(lag(run) over (partition by parent_asin order by
 select parent_asin, ix, review_count, rating_sum, lowered, round(rating_sum - lowered * greatest(rating_sum / review_count - 1, 0), 9) injected_sum from l""",
     "calibrate_surveillance": f"with {POINTS} select count(distinct point_month) \"months\", round(count(*) / 12, 9) product_years from p where evaluable",
     "stream_product_months": f"with {_PM} select * from pm",
-    "stream_reconciled": f"""with {_PM},
-sm as (select parent_asin, {_MONTH("year(event_ts) * 12 + month(event_ts) - 1")} as month, count(*) review_count, sum(rating)::double rating_sum, count(*) filter (where rating <= 2) neg_count, count(*) filter (where verified_purchase) verified_count from f where rating > 1 group by 1, 2)
-select parent_asin, month, case when sm.review_count is null then 'only_batch' else 'differs' end kind, coalesce(sm.review_count, 0) - pm.review_count review_gap
-from pm left join sm using (parent_asin, month) where sm.review_count is distinct from pm.review_count""",
+    "stream_injection_plan": f"with {_HELD} select * from held",
+    "stream_reconciled": f"""with {_HELD}, {_PM.replace("f as (select", "g as (select", 1).replace("from f group by", "from g group by", 1)},
+x as (select g.parent_asin, {_MONTH("year(event_ts) * 12 + month(event_ts) - 1")} as month, count(*) n from g join held using (review_id) where slice = 'far' group by 1, 2)
+select parent_asin, month, case when n = review_count then 'only_batch' else 'differs' end kind, -n review_gap, true explained from x join pm using (parent_asin, month)""",
     "answer_violations": f"""with {text.WINDOWED},
 rv as (select review_id, any_value(parent_asin) parent_asin, ix from (select *, year(event_ts) * 12 + month(event_ts) - 1 ix from silver_reviews) group by 1, 3),
 rt as (select parent_asin qid, win, review_id, ix, row_number() over (partition by parent_asin, win order by {text._DRAW("retrieve").replace(f"'{text.SEED}'", f"'{SEED}'")}, review_id) rk from rv join wi using (parent_asin) where ix between lo and hi qualify rk <= 3),

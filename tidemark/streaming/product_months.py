@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.keys import month_ix, month_text
 from ..operators import late
-from ..session import scratch
+from ..session import filesystem, scratch
 
 ADDITIVE = ("review_count", "rating_sum", "neg_count", "verified_count")
 DELAY = "30 days"
@@ -64,29 +64,38 @@ def progress(query: StreamingQuery) -> dict[str, int]:
     return {"rows": sum(p["numInputRows"] for p in reports), "dropped": dropped, "batches": sum(p["numInputRows"] > 0 for p in reports)}
 
 
-def replay(reviews: DataFrame, files: int, order: str = "event_ts") -> str:
-    """Write reviews as files in event order, one micro-batch each; returns the folder.
+def replay(reviews: DataFrame, files: int, order: str = "event_ts", exact: bool = False) -> str:
+    """Write reviews as files in the given order, one micro-batch each; returns the folder.
 
-    A file source reads by modification time, so that is set a minute apart, in order.
+    With ``exact`` the column holds the number of the file, else its ranges are
+    cut alike.  A file source reads by modification time, so that is set a
+    minute apart, in order.
     """
     spark = reviews.sparkSession
     folder = scratch(spark, "replay")
-    reviews.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(folder)
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    parts = sorted((x.getPath() for x in fs.listStatus(path) if x.getPath().getName().startswith("part-")), key=lambda x: x.getName())
+    if exact:
+        for k in range(files):
+            reviews.where(F.col(order) == k).drop(order).coalesce(1).write.mode("append").parquet(f"{folder}/{k:06d}")
+        parents = [f"{folder}/{k:06d}" for k in range(files)]
+    else:
+        reviews.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(folder)
+        parents = [folder]
+    paths = []
+    for parent in parents:
+        fs, path = filesystem(spark, parent)
+        paths += sorted((x.getPath() for x in fs.listStatus(path) if x.getPath().getName().startswith("part-")), key=lambda x: x.getName())
     now = int(time.time() * 1000)
-    for i, part in enumerate(parts):
-        fs.setTimes(part, now - 60_000 * (len(parts) - i), -1)
-    return folder
+    for i, part in enumerate(paths):
+        fs.setTimes(part, now - 60_000 * (len(paths) - i), -1)
+    return folder + "/*" if exact else folder
 
 
-def run(reviews: DataFrame, files: int = 4) -> tuple[DataFrame, dict[str, int]]:
-    """Replay, drain and project; waits for the end of the stream."""
+def run(reviews: DataFrame, files: int = 4, batch: str | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """Replay, drain and project; waits for the end of the stream.  ``batch`` names a column with the number of each row's file."""
     spark = reviews.sparkSession
-    source = replay(reviews, files)
+    source = replay(reviews, files, batch, True) if batch else replay(reviews, files)
     out, checkpoint = scratch(spark, "months"), scratch(spark, "stream")
-    q = start(drained(spark, source, reviews.schema), out, checkpoint)
+    q = start(drained(spark, source, reviews.drop(batch).schema if batch else reviews.schema), out, checkpoint)
     q.awaitTermination()
     return project(spark.read.option("basePath", out).parquet(out)), progress(q)
 
