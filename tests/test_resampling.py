@@ -44,7 +44,7 @@ def test_a_comparable_point_ends_a_gap(spark):
     rows = [("P", i, bool(e), bool(c) if e else None, 4.0, 3.0, 1.0) for i, (e, c) in enumerate(points)]
     df = spark.createDataFrame(rows, "parent_asin string, ix int, evaluable boolean, condition boolean, baseline_mean double, recent_mean double, drop double")
     ok, cond = (np.array([[p[k]] for p in points], bool) for k in (0, 1))
-    assert decline.episodes(df, rule).count() == 2 and calibration._alerts(ok, cond, rule).tolist() == [2]
+    assert decline.episodes(df, rule).count() == 2 and calibration._opens(ok, cond, rule).sum(axis=0).tolist() == [2]
 
 
 def test_placebo_scores_the_permuted_spines(spark):

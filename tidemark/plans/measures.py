@@ -12,7 +12,8 @@ from ..sources.tables import table
 from ..sources.versioned import VersionedTable
 from ..streaming import product_months
 from . import text
-from .gold import MONTHS, POINTS, RULE, SPINE, _MONTH, first_arrivals, months
+from ..functions.keys import month_ix
+from .gold import EPISODES, MONTHS, POINTS, RULE, SPINE, _MONTH, first_arrivals, months
 
 GRID = [round(0.05 * i, 2) for i in range(1, 20)]
 DRAWS, SEED = 1000, 11
@@ -21,6 +22,8 @@ CALIBRATED = calibration.grid(
     replace(RULE, max_gap=3, recovery=2, min_active=3), baseline=[6, 12], recent=[6, 12], delta=[0.3, 0.5, 0.75, 1.0], persistence=[2, 3, 4], min_reviews=[10, 20, 40]
 )
 BLOCK, REPLICATES = 6, 24
+# Calibration sees no month from here on; steps are drawn under this rule.
+HOLDOUT, REFERENCE = 2025 * 12, replace(RULE, baseline=6, recent=6, max_gap=3, recovery=2, min_active=3, min_reviews=10)
 
 
 def _flat(s, d):
@@ -181,6 +184,30 @@ def _placebo(s, d):
     return calibration.placebo(spine.spine(months(s, d)), CALIBRATED, BLOCK, REPLICATES, SEED)
 
 
+def _early(s, d):
+    """Months before the holdout, with 5-star reviews, of products that can carry a point."""
+    stars = first_arrivals(s, d).where("rating = 5").groupBy("parent_asin", month_ix(F.col("event_ts")).alias("ix")).agg(F.count(F.lit(1)).alias("fives"))
+    m = months(s, d).join(stars, ["parent_asin", "ix"], "left").na.fill(0, ["fives"])
+    return calibration.before_holdout(m, HOLDOUT, min(r.min_reviews for r in CALIBRATED.values()), min(r.baseline + r.recent for r in CALIBRATED.values()))
+
+
+def _power(s, d, rules=None, effects=(0.2, 0.3, 0.5), ramps=(1, 6), mechanisms=("severe", "moderate")):
+    return calibration.power(spine.spine(_early(s, d)), rules or CALIBRATED, REFERENCE, list(effects), list(ramps), 6, 3, SEED, mechanisms)
+
+
+def _selected(s, d):
+    """The rule that the ceiling of one placebo alert a month admits and that finds most severe steps of 0.3 stars."""
+    sp = spine.spine(_early(s, d))
+    watched = calibration.surveillance_months(decline.points(sp, REFERENCE)).first().months
+    rates = calibration.placebo_rates(calibration.placebo(sp, CALIBRATED, BLOCK, REPLICATES, SEED), watched)
+    return _round(calibration.selected(rates, _power(s, d, effects=(0.3,), ramps=(1,), mechanisms=("severe",)), CALIBRATED, 1.0, 0.8))
+
+
+def _fast_path(s, d):
+    """The scan of all rules at once, for the one rule that episodes are made with."""
+    return calibration.grid_alerts(spine.spine(months(s, d)), {"rule": RULE}).drop("config")
+
+
 def _permuted(s, d):
     p = calibration.permuted_blocks(spine.spine(months(s, d)).select("parent_asin", "ix", "review_count", "rating_sum"), 6, 1, SEED)
     return p
@@ -226,6 +253,9 @@ QUERIES = {
     "profile_single_value": lambda s, d: profile.single_value(table(s, d, "bronze_reviews"), "kafka_topic"),
     "calibrate_grid": _grid_alerts,
     "calibrate_placebo": _placebo,
+    "calibrate_power": lambda s, d: _round(_power(s, d)),
+    "calibrate_selected": _selected,
+    "calibrate_fast_path": _fast_path,
     "calibrate_permuted": _permuted,
     "calibrate_injected": _injected,
     "calibrate_surveillance": lambda s, d: calibration.surveillance_months(decline.points(spine.spine(months(s, d)), RULE)),
@@ -321,6 +351,8 @@ select group_size, count(*) as groups, count(*) filter (where greatest(r, t, x,
   count(*) filter (where r > 1) rating_differs, count(*) filter (where t > 1) title_differs, count(*) filter (where x > 1) text_differs, count(*) filter (where h > 1) helpful_vote_differs, count(*) filter (where v > 1) verified_purchase_differs
 from k group by 1""",
     "profile_single_value": "select case when min(kafka_topic) = max(kafka_topic) then min(kafka_topic) end as value, min(kafka_topic) <> max(kafka_topic) several from bronze_reviews",
+    "calibrate_fast_path": f"""with recursive {EPISODES}
+select (select count(*) from p) points, (select count(*) from p where evaluable) evaluable, count(*) alerts, count(distinct parent_asin) products from ep""",
     "calibrate_permuted": f"""with {SPINE},
 a as (select parent_asin, ix, review_count, rating_sum, row_number() over (partition by parent_asin order by ix) - 1 i, count(*) over (partition by parent_asin) n from sp),
 b as (select *, (i + floor(('0x' || substr(sha256('{SEED}' || chr(31) || 'shift1' || chr(31) || parent_asin), 1, 16))::ubigint::double / 18446744073709551616.0 * n)::bigint) % n c from a),
