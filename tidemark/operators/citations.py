@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import draw_key
+from ..session import ship
 from .ordering import numbered
 
 # The rules of the contract in their order.
@@ -81,6 +82,7 @@ def decline_bound(reviews: DataFrame, windows: DataFrame, draws: int = 2000, see
     """
     if draws < 100:
         raise ValueError(f"{draws} draws can't support a lower bound")
+    ship(reviews.sparkSession)
     w = windows.select(F.col(key).alias("_key"), F.col("parent_asin").alias("w_asin"), "window", "lo", "hi")
     inside = (F.col("parent_asin") == F.col("w_asin")) & F.col("ix").between(F.col("lo"), F.col("hi"))
     stars = reviews.where("rating is not null").groupBy("parent_asin", "ix", "rating").agg(F.count(F.lit(1)).alias("n"))
