@@ -37,6 +37,28 @@ def test_mined_terms_have_one_owner_and_plain_odds(spark):
         mined(spark, docs, odds=1.0)
 
 
+def test_matches_shuffle_few_terms_that_nobody_owns(spark):
+    texts = [*((i, f"zebra zebra zebra stripe alpha{i % 40}") for i in range(80)), (None, "zebra"), (900, None), (901, "the of and"), (902, "plain")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    owned = spark.createDataFrame([("zebra", "z"), ("stripe", "s"), ("zebra stripe", "s"), *((f"absent{i}", "a") for i in range(50))], "term string, theme string")
+    once, places = terms.document_terms(docs), terms.term_places(docs)
+    assert sorted(map(str, once.collect())) == sorted(map(str, places.distinct().collect())) and places.count() > once.count()
+    kept = {r.term for r in terms.possible(places, owned, 1024).collect()}
+    assert kept >= {"zebra", "stripe", "zebra stripe"} and len(kept) < 20 < once.select("term").distinct().count()
+    want = sorted([(i, t, n) for i in range(80) for t, n in (("s", 2), ("z", 1))] + [(None, "z", 1)], key=str)
+    for bits in (64, 2**24):  # a bitmap with every bit set keeps all rows; the join decides
+        assert sorted((tuple(r) for r in terms.matched(places, owned, bits).collect()), key=str) == want
+    assert terms.matched(places, owned.where("false")).count() == 0
+
+
+def test_a_theme_beside_the_term_needs_no_join(spark):
+    docs = spark.createDataFrame([(1, "a", "zebra"), (2, "a", "zebra"), (3, "b", "other"), (4, None, "zebra")], "doc_id bigint, theme string, text string")
+    themes = docs.select("doc_id", "theme").where("theme is not null")
+    beside = terms.mine(terms.document_terms(docs, keep=("theme",)), themes, 100)
+    joined = terms.mine(terms.document_terms(docs), themes, 100)
+    assert beside.collect() == joined.collect() and [r.term for r in beside.collect()] == ["zebra"]
+
+
 CONTRACT = {
     # name: (status, refused, reason, claims as lists of (handle, window), broken rules with times)
     "sound": ("succeeded", False, None, [[("R1", "baseline")], [("R1", "baseline"), ("R2", "recent")]], {}),

@@ -74,8 +74,8 @@ def quotes(quote: Column, *sources: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case words of ASCII letters and digits, with an inner apostrophe ending."""
-    plain = F.lower(F.translate(F.coalesce(text, F.lit("")), "’", "'"))
-    return F.regexp_extract_all(plain, F.lit("([a-z0-9]+(?:'[a-z]+)?)"), F.lit(1))
+    plain = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("’"), F.lit("'")))
+    return F.regexp_extract_all(plain, F.lit("[a-z0-9]+(?:'[a-z]+)?"), F.lit(0))
 
 
 def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import tokens
+from ..session import scratch
 
 # Words that carry no theme by themselves.
 STOPWORDS = [
@@ -18,21 +19,30 @@ STOPWORDS = [
 ]
 
 
-def candidates(words: Column) -> Column:
-    """Distinct single words (three letters or more, no stopword) and adjacent pairs (not both stopwords)."""
-    stop = F.array(*map(F.lit, STOPWORDS))
-    single = F.filter(words, lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w))
-    pairs = F.transform(
-        F.filter(F.arrays_zip(words.alias("a"), F.slice(words, 2, 1_000_000_000).alias("b")), lambda p: p["b"].isNotNull() & ~(F.array_contains(stop, p["a"]) & F.array_contains(stop, p["b"]))),
-        lambda p: F.concat_ws(" ", p["a"], p["b"]),
-    )
-    return F.array_distinct(F.concat(single, pairs))
+def _candidate(term: Column) -> Column:
+    """Whether a word has three letters or more and is no stopword, or a pair isn't of two stopwords; null for null."""
+    pair = ~(F.substring_index(term, " ", 1).isin(STOPWORDS) & F.substring_index(term, " ", -1).isin(STOPWORDS))
+    return F.when(F.contains(term, F.lit(" ")), pair).otherwise((F.length(term) >= 3) & ~term.isin(STOPWORDS))
+
+
+def document_terms(docs: DataFrame, identifier: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, *keep, term): the distinct candidate terms of every document, single words and adjacent pairs."""
+    worded = docs.select(identifier, *keep, tokens(F.col(text)).alias("words"))
+    pairs = F.zip_with("words", F.slice("words", 2, 1_000_000_000), lambda a, b: F.concat(a, F.lit(" "), b))  # null behind the last word
+    held = worded.select(identifier, *keep, F.array_distinct(F.concat("words", pairs)).alias("terms"))
+    # outer: else the array is made once more, for a filter on its size
+    return held.select(identifier, *keep, F.explode_outer("terms").alias("term")).where(_candidate(F.col("term")))
 
 
-def document_terms(docs: DataFrame, identifier: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, term): the distinct candidate terms of every document."""
+def term_places(docs: DataFrame, identifier: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, term): the terms of ``document_terms``, as often as each stands in the document; no array of them is built."""
     worded = docs.select(identifier, tokens(F.col(text)).alias("words"))
-    return worded.select(identifier, F.explode(candidates(F.col("words"))).alias("term"))
+    following = F.slice("words", 2, 1_000_000_000).alias("b")
+    a, b = F.col("a"), F.col("b")
+    single = F.when((F.length(a) >= 3) & ~a.isin(STOPWORDS), a)
+    pair = F.when(b.isNotNull() & ~(a.isin(STOPWORDS) & b.isin(STOPWORDS)), F.concat_ws(" ", a, b))
+    rows = worded.select(identifier, F.inline(F.arrays_zip(F.col("words").alias("a"), following)))
+    return rows.select(identifier, F.explode(F.array(single, pair)).alias("term")).where("term is not null")
 
 
 def frequency(doc_terms: DataFrame) -> DataFrame:
@@ -43,8 +53,9 @@ def frequency(doc_terms: DataFrame) -> DataFrame:
 def mine(doc_terms: DataFrame, themes: DataFrame, corpus: int | Column, least: int = 2, odds: float = 3.0, common: float = 0.1, most: int = 120) -> DataFrame:
     """Terms owned by a theme: (theme, term, in_theme, odds, rank).
 
-    ``doc_terms`` is (doc_id, term), ``themes`` (doc_id, theme), one each.  A
-    term counts for a theme when ``least`` of its documents hold it, its rate
+    ``doc_terms`` is (doc_id, term), ``themes`` (doc_id, theme), one each; where
+    ``doc_terms`` has the document's theme too, nothing is joined for it.  A term
+    counts for a theme when ``least`` of its documents hold it, its rate
     there is ``odds`` times the rate in other themes' documents (any number of
     times where those don't hold it: infinity), and at most ``common`` of the
     corpus holds it.  The theme with the highest odds owns it; ties go to the
@@ -56,7 +67,8 @@ def mine(doc_terms: DataFrame, themes: DataFrame, corpus: int | Column, least: i
     total = themes.agg(F.count(F.lit(1))).scalar()
     corpus = F.lit(corpus) if isinstance(corpus, int) else corpus
     # one pass over the terms: a document without theme counts for the corpus only
-    counts = doc_terms.join(themes, "doc_id", "left").groupBy("term", "theme").agg(F.count(F.lit(1)).alias("in_theme"))
+    themed = doc_terms if "theme" in doc_terms.columns else doc_terms.join(themes, "doc_id", "left")
+    counts = themed.groupBy("term", "theme").agg(F.count(F.lit(1)).alias("in_theme"))
     term = Window.partitionBy("term")
     counts = counts.withColumn("documents", F.sum("in_theme").over(term)).withColumn("everywhere", F.sum(F.when(F.col("theme").isNotNull(), F.col("in_theme"))).over(term))
     rest = (F.col("everywhere") - F.col("in_theme")) / (total - F.col("theme_docs"))
@@ -72,9 +84,35 @@ def mine(doc_terms: DataFrame, themes: DataFrame, corpus: int | Column, least: i
     return owned.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= most).select("theme", "term", "in_theme", "odds", "rank")
 
 
-def matched(doc_terms: DataFrame, owned: DataFrame) -> DataFrame:
-    """(doc_id, theme, terms): distinct owned terms of each theme in each document."""
-    return doc_terms.join(owned.select("term", "theme"), "term").groupBy("doc_id", "theme").agg(F.count(F.lit(1)).alias("terms"))
+def _places(term: Column, bits: int) -> tuple[Column, Column]:
+    """Two places of a term among ``bits``, a power of two up to 2**32."""
+    h = F.xxhash64(term)
+    return h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1))
+
+
+def possible(doc_terms: DataFrame, owned: DataFrame, bits: int) -> DataFrame:
+    """Rows whose term may be owned: all that are, and few others while there are 8 ``bits`` or more for each owned term."""
+    words = owned.select(F.explode(F.array(*_places(F.col("term"), bits))).alias("p"))
+    words = words.groupBy((F.col("p") / 64).cast("long").alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("word"))
+    spread = owned.sparkSession.range(bits // 64).join(words, "id", "left").select("id", F.coalesce("word", F.lit(0)).alias("word"))
+    table = spread.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "word"))), lambda x: x["word"])).scalar()
+    is_set = [F.getbit(F.get(table, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1 for p in _places(F.col("term"), bits)]
+    return doc_terms.where(is_set[0] & is_set[1])
+
+
+def matched(doc_terms: DataFrame, owned: DataFrame, most_bits: int = 2**24) -> DataFrame:
+    """(doc_id, theme, terms): distinct owned terms of each theme in each document; ``doc_terms`` may repeat.
+
+    Owned terms are written once.  A bitmap of them, of 2 MB at most, keeps most
+    other terms out of the shuffle; the join with the terms themselves decides.
+    """
+    spark = owned.sparkSession
+    where = scratch(spark, "owned")
+    owned.select("term", "theme").write.parquet(where)
+    owned = spark.read.schema("term string, theme string").parquet(where)
+    bits = min(most_bits, max(64, 1 << (16 * owned.count()).bit_length()))
+    held = possible(doc_terms, owned, bits).join(owned, "term").select("doc_id", "theme", "term").distinct()
+    return held.groupBy("doc_id", "theme").agg(F.count(F.lit(1)).alias("terms"))
 
 
 def scan(df: DataFrame, text: Column, lists: dict[str, list[str]]) -> DataFrame:
