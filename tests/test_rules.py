@@ -37,6 +37,15 @@ def test_mined_terms_have_one_owner_and_plain_odds(spark):
         mined(spark, docs, odds=1.0)
 
 
+def test_every_owned_term_is_mined_and_matched(spark):
+    docs = [("many", " ".join(f"word{i}" for i in range(200)))] * 2 + [("few", "other thing")] * 2
+    assert sum(theme == "many" for theme, _ in mined(spark, docs)) == 399  # 200 words, 199 pairs
+    assert sum(theme == "many" for theme, _ in mined(spark, docs, most=120)) == 120
+    t = terms.document_terms(spark.createDataFrame([(i, theme, text) for i, (theme, text) in enumerate(docs)], "doc_id bigint, theme string, text string"), keep=("theme",))
+    got = terms.matched(t.drop("theme"), terms.mine(t, t.select("doc_id", "theme").distinct(), 1000))
+    assert sorted(tuple(r) for r in got.collect()) == [(0, "many", 399), (1, "many", 399), (2, "few", 2), (3, "few", 2)]
+
+
 def test_matches_shuffle_few_terms_that_nobody_owns(spark):
     texts = [*((i, f"zebra zebra zebra stripe alpha{i % 40}") for i in range(80)), (None, "zebra"), (900, None), (901, "the of and"), (902, "plain")]
     docs = spark.createDataFrame(texts, "doc_id bigint, text string")

@@ -50,7 +50,7 @@ def frequency(doc_terms: DataFrame) -> DataFrame:
     return doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
 
 
-def mine(doc_terms: DataFrame, themes: DataFrame, corpus: int | Column, least: int = 2, odds: float = 3.0, common: float = 0.1, most: int = 120) -> DataFrame:
+def mine(doc_terms: DataFrame, themes: DataFrame, corpus: int | Column, least: int = 2, odds: float = 3.0, common: float = 0.1, most: int | None = None) -> DataFrame:
     """Terms owned by a theme: (theme, term, in_theme, odds, rank).
 
     ``doc_terms`` is (doc_id, term), ``themes`` (doc_id, theme), one each; where
@@ -59,7 +59,7 @@ def mine(doc_terms: DataFrame, themes: DataFrame, corpus: int | Column, least: i
     there is ``odds`` times the rate in other themes' documents (any number of
     times where those don't hold it: infinity), and at most ``common`` of the
     corpus holds it.  The theme with the highest odds owns it; ties go to the
-    last by name.
+    last by name.  All owned terms come out, or the first ``most`` of each theme.
     """
     if least < 1 or odds <= 1 or not 0 < common <= 1:
         raise ValueError("least must be 1 or more, odds above 1, common in (0, 1]")
@@ -81,7 +81,8 @@ def mine(doc_terms: DataFrame, themes: DataFrame, corpus: int | Column, least: i
     owner = Window.partitionBy("term").orderBy(F.desc("odds"), F.desc("theme"))
     place = Window.partitionBy("theme").orderBy(F.desc("odds"), F.desc("in_theme"), "term")
     owned = scored.withColumn("o", F.row_number().over(owner)).where("o = 1")
-    return owned.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= most).select("theme", "term", "in_theme", "odds", "rank")
+    ranked = owned.withColumn("rank", F.row_number().over(place)).select("theme", "term", "in_theme", "odds", "rank")
+    return ranked if most is None else ranked.where(F.col("rank") <= most)
 
 
 def _places(term: Column, bits: int) -> tuple[Column, Column]:
